@@ -7,24 +7,61 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import bytebpe, packing
+from lamina.llm import bytebpe, langid, neardup, packing, quality, secrets, spotsigs
 from lamina.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return spotsigs.compare(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and the verdict on every document."""
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes that they decode to."""
     return bytebpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near-duplicates of every document."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, scanned into an empty ledger and joined back."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.report(docs, secrets.scan(docs))
+
+
+QUERIES: tuple[Query, ...] = (
+    op2_spot_signatures,
+    op4_best_fit_packing,
+    op6_line_frequency,
+    op7_byte_bpe,
+    op8_minhash_join,
+    op9_language_filters,
+    op10_secret_ledger,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op7_byte_bpe)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import bytebpe, langid, neardup, packing, quality, secrets, spotsigs
+from lamina.llm import bytebpe, langid, neardup, packing, quality, secrets, sharding, spotsigs
 from lamina.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, of at most `sharding.LIMIT` bytes."""
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and the verdict on every document."""
     return quality.assess(table(spark, sf_dir, "documents"))
@@ -52,6 +57,7 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: tuple[Query, ...] = (
     op2_spot_signatures,
     op4_best_fit_packing,
+    op5_extendible_hashing,
     op6_line_frequency,
     op7_byte_bpe,
     op8_minhash_join,

@@ -6,8 +6,8 @@ set of its hashed chains, in a text form that is equal for equal sets. Likeness
 coefficient of two sets; the sizes bound it, so pairs whose sizes differ too much are given up before the
 sets are compared, and near pairs are sought only between partitions of near set lengths.
 
-A text with fewer than one anchor in `SPARSE` words (tables, junk, unknown languages) has stand-in
-anchors as well: words whose hash is divisible by `STAND_IN`. A text without any chain has one signature
+Where no anchor is within `SPARSE` words on either side (tables, junk, unknown languages) every word is
+an anchor; the rule is local, so an edit changes signatures near it alone. A text without any chain has one signature
 of the whole text. An empty text has the empty fingerprint; two empty fingerprints have likeness 1, an
 empty and another 0.
 
@@ -31,8 +31,7 @@ from pyspark.sql import functions as F
 from lamina.llm._common import batch, cut, map_batches, mix, ship, word_hashes
 
 CHAIN = 3
-SPARSE = 24
-STAND_IN = 4
+SPARSE = 12
 #: Rows of a task when documents are put in order, on average.
 ORDERED = 8_000
 #: Common words that may start a chain.
@@ -55,7 +54,10 @@ def signatures(text: str) -> np.ndarray:
         return np.empty(0, dtype=np.uint32)
     at = np.searchsorted(_ANCHORS, words)
     anchor = _ANCHORS[np.minimum(at, len(_ANCHORS) - 1)] == words
-    start = anchor | (words % np.uint64(STAND_IN) == 0) if anchor.sum() * SPARSE < len(words) else anchor
+    before = np.concatenate(([0], np.cumsum(anchor)))
+    place = np.arange(len(words))
+    near = before[np.minimum(place + SPARSE + 1, len(words))] - before[np.maximum(place - SPARSE, 0)]
+    start = anchor | (near == 0)
     content = np.flatnonzero(~anchor)
     starts = np.flatnonzero(start)
     first = np.searchsorted(content, starts, side="right")

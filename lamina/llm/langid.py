@@ -42,6 +42,8 @@ WIDTH = 4
 #: Bytes of text that are counted together.
 GROUP = 1 << 20
 UNKNOWN = "und"
+#: Texts whose best language has a smaller share are taken for no language by `keep`.
+LEAST_SCORE = 0.3
 
 _LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes other than letters become spaces.
@@ -150,27 +152,42 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Filters:
     return Filters.build({name: np.array(grams, dtype=np.uint32) for name, grams in held.items()})
 
 
+def _judged(filters: Filters, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    names, scores = [], []
+    for group in _groups(texts):
+        if filters.languages:
+            _, counts = filters.counts(group)
+            best, sums = counts.argmax(axis=1), counts.sum(axis=1)
+        for i, text in enumerate(group):
+            if not filters.languages or not _LETTER.search(text):
+                names.append(UNKNOWN)
+                scores.append(0.0)
+            else:
+                names.append(filters.languages[best[i]])
+                scores.append(float(counts[i, best[i]] / sums[i]) if sums[i] else 0.0)
+    return names, scores
+
+
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """doc_id, lang_pred, score of every text."""
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
-        names, scores = [], []
-        for group in _groups(rows.column("text").to_pylist()):
-            if filters.languages:
-                _, counts = filters.counts(group)
-                best, sums = counts.argmax(axis=1), counts.sum(axis=1)
-            for i, text in enumerate(group):
-                if not filters.languages or not _LETTER.search(text):
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                else:
-                    names.append(filters.languages[best[i]])
-                    scores.append(float(counts[i, best[i]] / sums[i]) if sums[i] else 0.0)
+        names, scores = _judged(filters, rows.column("text").to_pylist())
         return batch(doc_id=rows.column("doc_id"), lang_pred=pa.array(names, pa.string()), score=pa.array(scores, pa.float64()))
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")
 
 
+def keep(docs: DataFrame, filters: Filters, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows, in all their columns, whose text has a language with a score of `least` or more."""
+
+    def run(rows: pa.RecordBatch) -> pa.RecordBatch:
+        names, scores = _judged(filters, rows.column("text").to_pylist())
+        return rows.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return map_batches(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: filters fitted on the rows that are not held out, applied to all."""
     return predict(docs, fit(docs)).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")

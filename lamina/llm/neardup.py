@@ -233,3 +233,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = sigs.select("doc_id", "n_shingles", "k1", "k2").join(by_class, ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows, in all their columns, without the documents of each component that are not its smallest doc_id."""
+    dropped = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

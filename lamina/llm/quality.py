@@ -117,6 +117,7 @@ def clean(docs: DataFrame) -> DataFrame:
     """The documents that are kept, in all their columns, without the lines above the limit."""
     verdicts = judge(cut(measure(docs))).filter("kept").select(F.col("doc_id").alias("_doc"), F.col("removed_lines").alias("_lines"))
     joined = docs.join(verdicts, F.col("doc_id") == F.col("_doc")).drop("_doc")
+    names = docs.columns
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
         texts, n = [], []
@@ -127,6 +128,6 @@ def clean(docs: DataFrame) -> DataFrame:
             texts.append(text.decode())
             n.append(len(texts[-1]))
         new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(n, pa.int64())}
-        return batch(**{name: new.get(name, rows.column(name)) for name in docs.columns})
+        return batch(**{name: new.get(name, rows.column(name)) for name in names})
 
     return map_batches(joined, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))

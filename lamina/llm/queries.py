@@ -7,17 +7,27 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import bytebpe, langid, neardup, packing, quality, secrets, sharding, spotsigs
+from lamina.llm import blocklabel, bytebpe, langid, licenses, neardup, packing, quality, secrets, sharding, spotsigs
 from lamina.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return blocklabel.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
     return spotsigs.compare(table(spark, sf_dir, "documents"))
 
 
+def op3_license_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license notices that the documents hold."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -55,7 +65,9 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: tuple[Query, ...] = (
+    op1_block_labeller,
     op2_spot_signatures,
+    op3_license_bands,
     op4_best_fit_packing,
     op5_extendible_hashing,
     op6_line_frequency,

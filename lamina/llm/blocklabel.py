@@ -33,7 +33,7 @@ BUCKETS = (2048, 1024, 512)
 SIZES = (24, 16, 8)
 MEASURES = 11
 HIDDEN = 24
-PAGES = 900
+PAGES = 700
 EPOCHS = 7
 TOGETHER = 16
 SEED = 20

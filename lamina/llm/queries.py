@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import blocklabel, bytebpe, langid, licenses, neardup, packing, quality, secrets, sharding, spotsigs
+from lamina.llm import blocklabel, bytebpe, langid, licenses, neardup, oracles, packing, quality, secrets, sharding, spotsigs
 from lamina.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,4 +83,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        op6_line_frequency.__name__: oracles.line_frequency(),
+        op8_minhash_join.__name__: oracles.near_duplicates(),
+        op10_secret_ledger.__name__: oracles.secret_ledger(),
+    }

@@ -185,7 +185,7 @@ def keep(docs: DataFrame, filters: Filters, least: float = LEAST_SCORE) -> DataF
         names, scores = _judged(filters, rows.column("text").to_pylist())
         return rows.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return map_batches(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    return map_batches(docs, run, docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

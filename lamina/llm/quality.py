@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamina.llm._common import batch, cut, map_batches, shingles, utf8, word_hashes
 
@@ -115,13 +116,14 @@ def assess(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that are kept, in all their columns, without the lines above the limit."""
-    verdicts = judge(cut(measure(docs))).filter("kept").select(F.col("doc_id").alias("_doc"), F.col("removed_lines").alias("_lines"))
-    joined = docs.join(verdicts, F.col("doc_id") == F.col("_doc")).drop("_doc")
+    verdicts = judge(cut(measure(docs))).filter("kept").select(F.col("doc_id").alias("__doc"), F.col("removed_lines").alias("__lines"))
+    joined = docs.join(verdicts, F.col("doc_id") == F.col("__doc")).drop("__doc")
     names = docs.columns
+    schema = T.StructType([T.StructField(f.name, T.LongType() if f.name == "n_chars" else f.dataType) for f in docs.schema.fields])
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
         texts, n = [], []
-        for text, removed in zip(utf8(rows.column("text")), rows.column("_lines").to_pylist(), strict=True):
+        for text, removed in zip(utf8(rows.column("text")), rows.column("__lines").to_pylist(), strict=True):
             if removed:
                 drop = {*removed}
                 text = b"\n".join(x for x in text.split(b"\n") if not x.split() or _line_hash(normalised(x)) not in drop)
@@ -130,4 +132,4 @@ def clean(docs: DataFrame) -> DataFrame:
         new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(n, pa.int64())}
         return batch(**{name: new.get(name, rows.column(name)) for name in names})
 
-    return map_batches(joined, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    return map_batches(joined, run, schema)

@@ -120,8 +120,8 @@ def report(docs: DataFrame, ledger: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, ledger: DataFrame | None = None, mask: str = MASK) -> DataFrame:
     """The documents, in all their columns, with every found span replaced by `mask` and n_chars renewed."""
     whole = scan(docs, ledger) if ledger is None else ledger.unionByName(scan(docs, ledger))
-    found = whole.filter(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("_spans"))
-    rows = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).join(found.withColumnRenamed("blob", "_blob"), "_blob", "left")
+    found = whole.filter(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("__spans"))
+    rows = docs.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).join(found.withColumnRenamed("blob", "__blob"), "__blob", "left")
 
     def step(state: Column, x: Column) -> Column:
         fresh = x["start"] >= state["at"]
@@ -129,7 +129,7 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, mask: str = MASK) -
         return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.when(fresh, F.concat(state["out"], before, F.lit(mask))).otherwise(state["out"]).alias("out"))
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", begin, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    new = {"text": F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean)}
+    clean = F.aggregate("__spans", begin, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+    new = {"text": F.when(F.col("__spans").isNull(), F.col("text")).otherwise(clean)}
     out = rows.withColumns(new)
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

@@ -24,8 +24,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -42,6 +43,8 @@ PERCENT = 85
 COUNTERS = 1 << 16
 #: Nodes of a list that are compared with as many others in one task.
 BLOCK = 2000
+#: Pairs whose signatures are compared at once.
+COMPARED = 20_000
 
 _XORS = np.frombuffer(xxhash.xxh3_128_digest(b"xor") * 64, dtype="<u4")[:COORDINATES] ^ (np.arange(COORDINATES, dtype=np.uint32) * np.uint32(0x9E3779B1))
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
@@ -101,16 +104,20 @@ def _shared(nodes: DataFrame) -> np.ndarray:
     return out
 
 
+def _prefix(keys: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The coordinates of each row's rarest coordinate-value pairs."""
+    mixed = mix(keys)
+    return np.lexsort((mixed, shared[(mixed % np.uint64(COUNTERS)).astype(np.int64)]))[:, : COORDINATES - MATCHES + 1]
+
+
 def postings(nodes: DataFrame, shared: np.ndarray) -> DataFrame:
     """key, node: every node under its rarest coordinate-value pairs."""
-    prefix = COORDINATES - MATCHES + 1
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
         keys = _values(rows.column("sig").to_pylist())
-        mixed = mix(keys)
-        order = np.lexsort((mixed, shared[(mixed % np.uint64(COUNTERS)).astype(np.int64)]))[:, :prefix]
+        order = _prefix(keys, shared)
         keys = np.take_along_axis(keys, order, axis=1)
-        return batch(key=keys.ravel().astype(np.int64), node=np.repeat(rows.column("node").to_numpy(), prefix))
+        return batch(key=keys.ravel().astype(np.int64), node=np.repeat(rows.column("node").to_numpy(), order.shape[1]))
 
     return map_batches(nodes.select("node", "sig"), run, "key long, node long")
 
@@ -180,29 +187,61 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _crossing(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+def _compared(rows: pa.Table, shared: np.ndarray) -> pa.RecordBatch | None:
+    """Pairs of rows of one group (key, _one, _two) with different labels and enough matches.
+
+    Rows are sorted by group. All groups advance together: step d compares each row with the d-th after it.
+    A pair meets in every list that posts both; it is returned in that of the smallest coordinate alone.
+    """
+    key, one, two, own, node, label = (rows.column(x).to_numpy() for x in ("key", "_one", "_two", "_own", "node", "label"))
+    n = len(key)
+    begins = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+    ends = np.repeat(np.append(begins[1:], n), np.diff(np.append(begins, n)))
+    keys = _values(rows.column("sig").to_pylist())
+    posted = np.zeros((n, COORDINATES), dtype=bool)
+    np.put_along_axis(posted, _prefix(keys, shared), True, axis=1)
+    values, coordinate = keys.astype(np.uint32), key.astype(np.uint64) >> np.uint64(32)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    active, d = np.arange(n), 1
+    while len(active := active[active + d < ends[active]]):
+        pick = active[(label[active] != label[active + d]) & ((one[active] == two[active]) | (own[active] != own[active + d]))]
+        for at in range(0, len(pick), COMPARED):
+            i = pick[at : at + COMPARED]
+            j = i + d
+            equal = values[i] == values[j]
+            first = (equal & posted[i] & posted[j]).argmax(axis=1)
+            keep = (equal.sum(axis=1) >= MATCHES) & (first == coordinate[i])
+            found.append((node[i[keep]], node[j[keep]]))
+        d += 1
+    if not found:
+        return None
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return batch(a=np.minimum(a, b), b=np.maximum(a, b))
+
+
+def _crossing(lists: DataFrame, nodes: DataFrame, shared: np.ndarray) -> DataFrame:
     """Pairs a < b with enough matches of nodes that share a list of `lists` (key, node, label) under different labels."""
     per_key = Window.partitionBy("key")
     mixed = lists.withColumn("_low", F.min("label").over(per_key)).withColumn("_high", F.max("label").over(per_key)).withColumn("_size", F.count("*").over(per_key)).filter("_low != _high")
     blocks = mixed.withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int")).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     dealt = blocks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("key", "node", "label", "_own", F.least("_own", "_other").alias("_one"), F.greatest("_own", "_other").alias("_two"))
-    with_sig = dealt.join(nodes.select("node", "sig"), "node")
+    with_sig = dealt.join(nodes.select("node", "sig"), "node").repartition("key", "_one", "_two").sortWithinPartitions("key", "_one", "_two")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("node").sort_values("node")
-        node, label, own = group["node"].to_numpy(), group["label"].to_numpy(), group["_own"].to_numpy()
-        values = np.frombuffer(b"".join(group["sig"]), dtype="<u4").reshape(-1, COORDINATES)
-        across = group["_one"].iloc[0] != group["_two"].iloc[0]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in range(len(node)):
-            later = np.flatnonzero((label[i + 1 :] != label[i]) & ((own[i + 1 :] != own[i]) if across else True)) + i + 1
-            if len(later):
-                later = later[(values[later] == values[i]).sum(axis=1) >= MATCHES]
-                found.append((np.full(len(later), node[i]), node[later]))
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
-        return pd.DataFrame({"a": a, "b": b})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for rows in batches:
+            rows = pa.Table.from_batches([rows])
+            rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+            keys = [rows.column(x).to_numpy() for x in ("key", "_one", "_two")]
+            begins = np.flatnonzero(np.any([x[:-1] != x[1:] for x in keys], axis=0)) + 1
+            whole = int(begins[-1]) if len(begins) else 0  # the last group may go on
+            held = rows.slice(whole)
+            if whole and (out := _compared(rows.slice(0, whole), shared)):
+                yield out
+        if held is not None and len(held) and (out := _compared(held, shared)):
+            yield out
 
-    return with_sig.groupBy("key", "_one", "_two").applyInPandas(run, "a long, b long").distinct()
+    return with_sig.select("key", "_one", "_two", "_own", "node", "label", "sig").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -212,7 +251,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = sigs.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = cut(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")))
     nodes = full.select(F.col("doc_id").alias("node"), "sig").join(classes.select("node"), "node", "left_semi")
-    posted = postings(nodes, _shared(nodes))
+    shared = _shared(nodes)
+    posted = postings(nodes, shared)
     per_key = Window.partitionBy("key")
     lists = cut(posted.withColumn("hub", F.min("node").over(per_key)).withColumn("_high", F.max("node").over(per_key)).filter("hub != _high").select("key", "node", "hub"))
     first = cut(lists.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
@@ -221,7 +261,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = cut(confirm(_matching(first, nodes), texts))
     labels = components(links)
     named = lists.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    second = _crossing(named, nodes).join(first, ["a", "b"], "left_anti")
+    second = _crossing(named, nodes, shared).join(first, ["a", "b"], "left_anti")
     more = cut(confirm(second, texts))
     if not more.isEmpty():
         one, other = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))

@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina import schema
@@ -91,7 +91,10 @@ class KVTable:
             version = snapshot.version + 1
             rows = batch.select("key", "value", F.col("op").cast("byte").alias("op"), (F.lit(version << ORDINAL_BITS) + F.col("ordinal")).alias("seq"), schema.invalid(batch).alias("_why"))
             rows = rows.withColumn("_why", F.when(F.shiftright("seq", ORDINAL_BITS) != version, "ordinal out of range").otherwise(F.col("_why")))
-            guarded = rows.withColumn("key", F.when(F.col("_why").isNull(), F.col("key")).otherwise(F.raise_error(F.col("_why")))).drop("_why")
+            dealt = rows.repartitionByRange("key")  # also keeps the mutations of a key together for the window
+            twice = F.count("*").over(Window.partitionBy("key", "seq")) > 1
+            dealt = dealt.withColumn("_why", F.when(twice & F.col("_why").isNull(), "a key has two mutations in no order").otherwise(F.col("_why")))
+            guarded = dealt.withColumn("key", F.when(F.col("_why").isNull(), F.col("key")).otherwise(F.raise_error(F.col("_why")))).drop("_why")
             folder = f"data/{uuid.uuid4().hex}"
             try:
                 self._write(guarded, folder, self.options.flush_bytes)
@@ -99,7 +102,7 @@ class KVTable:
                 if "USER_RAISED_EXCEPTION" in str(e):
                     raise InvalidMutationError(str(e).splitlines()[0]) from e
                 raise
-            added = self._stats(folder, 0, unique=True)
+            added = self._stats(folder, 0)
             try:
                 self.log.commit(version, added, dict([stream]) if stream else None)
                 break
@@ -112,20 +115,17 @@ class KVTable:
                 raise HousekeepingError(f"version {version} is committed") from e
         return version
 
-    def _write(self, rows: DataFrame, folder: str, file_bytes: int, files: int | None = None) -> None:
-        """Files sorted by key with disjoint ranges, statistics and a Bloom filter on the key."""
-        sized = rows.repartitionByRange(files, "key") if files else rows.repartitionByRange("key")
-        writer = sized.sortWithinPartitions("key", F.desc("seq")).write.mode("errorifexists")
+    def _write(self, rows: DataFrame, folder: str, file_bytes: int) -> None:
+        """Sorted files, with statistics and a Bloom filter on the key, of rows that are dealt by ranges of keys."""
+        writer = rows.sortWithinPartitions("key", F.desc("seq")).write.mode("errorifexists")
         writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.enable.dictionary#key", "false").option("parquet.block.size", min(file_bytes, 128 << 20))
         writer.parquet(f"{self.root}/{folder}")
 
-    def _stats(self, folder: str, level: int, unique: bool = False) -> list[Action]:
+    def _stats(self, folder: str, level: int) -> list[Action]:
         """The additions for the files of a folder; one row for each file comes to the driver."""
         rows = self.spark.read.schema(MUTATION).parquet(f"{self.root}/{folder}")
         per_file = rows.groupBy(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("bytes")).agg(F.hex(F.min("key")).alias("low"), F.hex(F.max("key")).alias("high"), F.count("*").alias("n"))
         out = [Action(ADDED, f"{folder}/{r['name']}", level, r["low"], r["high"], r["n"], r["bytes"]) for r in per_file.collect()]
-        if unique and not rows.groupBy("key", "seq").count().filter("count > 1").isEmpty():
-            raise InvalidMutationError("a key has two mutations in no order")
         return sorted(out, key=lambda a: a.file)
 
     # Reading
@@ -194,7 +194,7 @@ class KVTable:
             merged = newest.live(merged) if chosen.drop_tombstones else merged
             folder = f"data/{uuid.uuid4().hex}"
             files = max(1, -(-sum(f.bytes for f in chosen.inputs) // self.options.file_bytes))
-            self._write(merged.select("key", "value", "op", "seq"), folder, self.options.file_bytes, files)
+            self._write(merged.select("key", "value", "op", "seq").repartitionByRange(files, "key"), folder, self.options.file_bytes)
             added = [a for a in self._stats(folder, chosen.level) if a.entries]
             try:
                 self.log.commit(snapshot.version + 1, [*added, *(Action(REMOVED, f.file, f.level) for f in chosen.inputs)])

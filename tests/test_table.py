@@ -118,22 +118,15 @@ def test_a_failed_compaction_changes_nothing(spark, table, monkeypatch, step):
     before = state(table.scan())
     table.options.l0_threshold, table.options.auto_compact = 1, True
     with monkeypatch.context() as m:
-        real_write, calls = table._write, []
-
-        def fail(*a, **k):
-            if step == "_write" or calls:
-                raise OSError("disk")
-            calls.append(1)
-            return real_write(*a, **k)
-
+        real_write = table._write
         if step == "commit":
             real = table.log.commit
             m.setattr(table.log, "commit", lambda v, a, s=None: real(v, a, s) if all(x.action == ADDED and x.level == 0 for x in a) else (_ for _ in ()).throw(OSError("disk")))
         elif step == "_write":
-            m.setattr(table, "_write", lambda rows, folder, size, files=None: real_write(rows, folder, size, files) if files is None else (_ for _ in ()).throw(OSError("disk")))
+            m.setattr(table, "_write", lambda rows, folder, size: real_write(rows, folder, size) if size == table.options.flush_bytes else (_ for _ in ()).throw(OSError("disk")))
         else:
             real = table._stats
-            m.setattr(table, "_stats", lambda folder, level, unique=False: real(folder, level, unique) if level == 0 else (_ for _ in ()).throw(OSError("disk")))
+            m.setattr(table, "_stats", lambda folder, level: real(folder, level) if level == 0 else (_ for _ in ()).throw(OSError("disk")))
         with pytest.raises(HousekeepingError) as caught:
             table.put(batch(spark, [("b", "1")]))
         assert isinstance(caught.value.__cause__, OSError)

@@ -14,10 +14,17 @@ from lamina.schema import DELETE, PUT
 
 
 def newest_wins(df: DataFrame, keys: Sequence[str] = ("key",), order: Sequence[Column | str] = ("seq",)) -> DataFrame:
-    """One row for each key: the one whose `order` is largest. Partial aggregation runs before the shuffle."""
-    carried = [c for c in df.columns if c not in keys]
-    by = F.struct(*[F.col(x) if isinstance(x, str) else x for x in order])
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*carried), by).alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in carried])
+    """One row for each key: the one whose `order` is largest. Partial aggregation runs before the shuffle.
+
+    All columns of `df` are carried through it, so select those that are needed first.
+    """
+    one = order[0] if len(order) == 1 and isinstance(order[0], str) else None
+    carried = [c for c in df.columns if c not in keys and c != one]
+    by = F.col(one) if one else F.struct(*[F.col(x) if isinstance(x, str) else x for x in order])
+    newest = F.max_by(F.struct(*carried), by).alias("_row") if carried else F.max(by).alias("_row")
+    found = df.groupBy(*keys).agg(newest, *([F.max(one).alias(one)] if one else []))
+    fields = {c: F.col(f"_row.{c}").alias(c) for c in carried}
+    return found.select(*keys, *[fields.get(c, F.col(c)) for c in df.columns if c not in keys])
 
 
 def newest_wins_wide(df: DataFrame, keys: Sequence[str] = ("key",), order: Sequence[str] = ("seq",)) -> DataFrame:

@@ -34,14 +34,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """key, value, op, seq, gen of the events."""
+    """key, value, op, seq of the events."""
     key = F.concat_ws(":", F.lpad(F.col("user_id").cast("string"), 6, "0"), F.lpad(F.hour("ts").cast("string"), 2, "0"))
     deleted = F.col("event_type") == "error"
     return _table(spark, sf_dir, "events").select(
-        key.alias("key"), F.when(~deleted, F.col("value")).alias("value"), F.when(deleted, DELETE).otherwise(PUT).alias("op"), F.col("event_id").alias("seq"), F.expr(f"event_id DIV {WIDTH}").alias("gen")
+        key.alias("key"), F.when(~deleted, F.col("value")).alias("value"), F.when(deleted, DELETE).otherwise(PUT).alias("op"), F.col("event_id").alias("seq")
     )
 
 
+def _with_gen(log: DataFrame) -> DataFrame:
+    """The log with the generation of each mutation."""
+    return log.withColumn("gen", F.expr(f"seq DIV {WIDTH}"))
+
+
 def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key, value, op, seq of the orders."""
     deleted = F.col("o_orderstatus") == "P"
@@ -49,7 +54,7 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _generations(log: DataFrame) -> DataFrame:
-    return files.file_stats(log.withColumn("file", F.col("gen")))
+    return files.file_stats(log.withColumn("file", F.expr(f"seq DIV {WIDTH}")))
 
 
 def put_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,15 +121,14 @@ def limit_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_memtable_plus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = event_log(spark, sf_dir)
-    new = newest.newest_wins(log.filter(F.col("gen") % 2 == 1)).drop("gen")
-    old = newest.newest_wins(log.filter(F.col("gen") % 2 == 0)).drop("gen")
+    log = event_log(spark, sf_dir).filter(read.key_range(START, END))
+    new, old = (newest.newest_wins(_with_gen(log).filter(F.col("gen") % 2 == i).drop("gen")) for i in (1, 0))
     merged = newest.merge([new, old], drop_tombstones=True)
-    return merged.filter(read.key_range(START, END)).select("key", "value")
+    return merged.select("key", "value")
 
 
 def merge_three_way_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = event_log(spark, sf_dir).drop("gen")
+    log = event_log(spark, sf_dir)
     sources = [newest.newest_wins(log.filter(F.col("seq") % 3 == i)) for i in range(3)]
     return newest.merge(sources).select("key", "op", "seq")
 
@@ -148,7 +152,7 @@ def compact_keep_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compact_incomplete_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newer half compacted alone keeps its tombstones, so the whole still reads right."""
-    log = event_log(spark, sf_dir).drop("gen")
+    log = event_log(spark, sf_dir)
     newer = newest.merge([log.filter(F.col("seq") >= 2 * WIDTH).transform(newest.newest_wins)])
     return newest.visible(newer.unionByName(log.filter(F.col("seq") < 2 * WIDTH))).select("key", "value")
 
@@ -158,7 +162,7 @@ def l0_to_l1_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir)
     stats = _generations(log)
     chosen = stats.filter("file >= 2").select("file").union(files.overlapping(stats.filter("file < 2"), stats.filter("file >= 2")).select("file"))
-    return newest.visible(log.join(chosen.select(F.col("file").alias("gen")), "gen", "left_semi")).select("key", "value")
+    return newest.visible(_with_gen(log).join(chosen.select(F.col("file").alias("gen")), "gen", "left_semi").drop("gen")).select("key", "value")
 
 
 def _ranged(log: DataFrame, column: Column) -> DataFrame:
@@ -200,13 +204,13 @@ def file_skip_for_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse_index_every_64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = newest.newest_wins(event_log(spark, sf_dir).drop("gen").withColumn("file", F.col("seq") % 4), keys=("file", "key"))
+    log = newest.newest_wins(event_log(spark, sf_dir).withColumn("file", F.col("seq") % 4), keys=("file", "key"))
     return files.sparse_index(log).select("file", "key", F.col("place").cast("long").alias("place"))
 
 
 def sparse_index_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every key, the last indexed key at or before it."""
-    log = newest.newest_wins(event_log(spark, sf_dir).drop("gen").withColumn("file", F.col("seq") % 4), keys=("file", "key"))
+    log = newest.newest_wins(event_log(spark, sf_dir).withColumn("file", F.col("seq") % 4), keys=("file", "key"))
     order = Window.partitionBy("file").orderBy("key")
     place = F.row_number().over(order) - 1
     indexed = log.withColumn("place", place).withColumn("mark", F.when(F.col("place") % 64 == 0, F.col("key")))
@@ -220,7 +224,7 @@ def bloom_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flush_trigger_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = event_log(spark, sf_dir).groupBy("gen").agg(F.sum(F.octet_length("key")).alias("key_bytes"))
+    log = _with_gen(event_log(spark, sf_dir)).groupBy("gen").agg(F.sum(F.octet_length("key")).alias("key_bytes"))
     return log.select("gen", "key_bytes", (F.col("key_bytes") >= 20_000).alias("flush"))
 
 
@@ -231,7 +235,7 @@ def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def next_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = event_log(spark, sf_dir).select(scalar.file_name(F.col("gen") + 1, "sst").alias("name")).distinct()
+    names = _with_gen(event_log(spark, sf_dir)).select(scalar.file_name(F.col("gen") + 1, "sst").alias("name")).distinct()
     return names.agg((F.max(scalar.file_number(F.col("name"), "sst")) + 1).alias("next_seq"))
 
 

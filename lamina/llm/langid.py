@@ -2,11 +2,12 @@
 
 One table of bit masks holds a Bloom filter for every language: bit l of a row belongs to language l, so
 that the conjunction of the rows at an n-gram's hash positions has a bit for each language that
-contains it. A text's n-grams are counted for every language at once; each count is corrected for the
-false positives that the fill of the language's bits predicts, and the largest corrected share decides.
+contains it. A text's distinct n-grams (a phrase that is repeated a thousand times counts once) are counted
+for every language at once; each count is corrected for the false positives that the fill of the
+language's bits predicts, n-grams of few languages weigh more, and the largest corrected share decides.
 
-The filters hold, for every language, the most frequent n-grams of its sample that no other language
-has `RATIO` times as often. The sample is bounded: `FIT_ROWS` labelled rows, about, are picked by a hash
+The filters hold, for every language, the n-grams that are in most texts of its sample and that no other
+language has `RATIO` times as often. The sample is bounded: `FIT_ROWS` labelled rows, about, are picked by a hash
 of doc_id, so what is fitted does not grow with the input. Prediction covers every whole text and sees the text
 alone.
 
@@ -56,7 +57,7 @@ def held_out() -> Column:
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of the texts, lower-cased and with single spaces around words, and the text each is from."""
+    """The distinct n-grams of each text, lower-cased and with single spaces around words, and the text each is from."""
     joined = _END.join(b" " + x.lower().encode("utf-8", "replace").translate(_CLEAN) + b" " for x in texts)
     data = np.frombuffer(joined + _END, dtype=np.uint8)
     data = data[np.concatenate(([True], (data[1:] != 0x20) | (data[:-1] != 0x20)))].astype(np.uint32)
@@ -67,7 +68,8 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for i in range(WIDTH if n > 0 else 0):
         grams = grams << np.uint32(8) | data[i : i + n]
         bad |= ends[i : i + n]
-    return grams[~bad], text[: max(n, 0)][~bad]
+    both = np.unique(text[: max(n, 0)][~bad].astype(np.uint64) << np.uint64(32) | grams[~bad])
+    return both.astype(np.uint32), (both >> np.uint64(32)).astype(np.int64)
 
 
 def _groups(texts: list[str | None]) -> Iterator[list[str]]:
@@ -109,18 +111,22 @@ class Filters:
         return cls(languages, masks, np.array(filled) ** HASHES)
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """n-grams of each text, and how many of them each language contains, corrected for false positives."""
+        """Weight of each text's n-grams, and of those that each language contains, corrected for false positives.
+
+        An n-gram that m of L languages contain weighs (L - m) / (L - 1): what all contain says nothing.
+        """
         grams, text = _grams(texts)
         at = self.positions(grams)
-        total = np.bincount(text, minlength=len(texts))[: len(texts)].astype(float)
-        out = np.zeros((len(texts), len(self.languages)))
-        for word, rows in enumerate(self.masks):
-            found = rows[at[0]]
-            for other in at[1:]:
-                found = found & rows[other]
-            for bit in range(min(64, len(self.languages) - 64 * word)):
-                hits = text[(found >> found.dtype.type(bit) & found.dtype.type(1)).astype(bool)]
-                out[:, 64 * word + bit] = np.bincount(hits, minlength=len(texts))[: len(texts)]
+        found = [rows[at[0]] & rows[at[1]] & rows[at[2]] for rows in self.masks]
+        many = len(self.languages)
+        holders = np.sum([np.bitwise_count(x) for x in found], axis=0, dtype=np.int64)
+        weight = (many - holders) / (many - 1) if many > 1 else np.ones(len(grams))
+        total = np.bincount(text, weights=weight, minlength=len(texts))
+        out = np.zeros((len(texts), many))
+        for i in range(many):
+            held = found[i // 64]
+            hits = (held >> held.dtype.type(i % 64) & held.dtype.type(1)).astype(bool)
+            out[:, i] = np.bincount(text[hits], weights=weight[hits], minlength=len(texts))
         return total, np.maximum(0, (out - total[:, None] * self.false) / (1 - self.false))
 
 

@@ -25,7 +25,7 @@ from lamina.llm._common import cut
 #: Bytes of text in a shard, at most.
 LIMIT = 8 << 20
 #: Bits decided by one pass over pre-aggregated sums.
-STEP = 8
+STEP = 4
 BITS = 64
 
 

@@ -11,7 +11,10 @@ integers.
 Work on dense groups stays linear: the first round pairs each list's smallest node with the others and
 joins what is confirmed into components. The second round looks only at lists that still hold several
 components and pairs every two nodes of different ones that have not been compared yet, in blocks of
-`BLOCK` nodes; it leaves no candidate out.
+`BLOCK` nodes; it leaves no candidate out. Two sets with a link have 85/185 of the sum of their sizes
+in common. Sizes alone rule out many pairs; in lists of over `DENSE` nodes, where most candidates of a group of
+loose copies would miss the threshold, the shingles that no other node of such lists has are counted, and
+nodes whose other shingles are too few are not paired.
 
 A pair at exactly the threshold (0.85) has fewer than `MATCHES` of 64 equal coordinates with a
 probability below 1e-6, and less above it.
@@ -43,6 +46,8 @@ PERCENT = 85
 COUNTERS = 1 << 16
 #: Nodes of a list that are compared with as many others in one task.
 BLOCK = 2000
+#: In longer lists, what a node has in common with others at most is counted exactly before pairs are made.
+DENSE = 64
 #: Pairs whose signatures are compared at once.
 COMPARED = 20_000
 
@@ -193,7 +198,7 @@ def _compared(rows: pa.Table, shared: np.ndarray) -> pa.RecordBatch | None:
     Rows are sorted by group. All groups advance together: step d compares each row with the d-th after it.
     A pair meets in every list that posts both; it is returned in that of the smallest coordinate alone.
     """
-    key, one, two, own, node, label = (rows.column(x).to_numpy() for x in ("key", "_one", "_two", "_own", "node", "label"))
+    key, one, two, own, node, label, size, common = (rows.column(x).to_numpy() for x in ("key", "_one", "_two", "_own", "node", "label", "n", "common"))
     n = len(key)
     begins = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
     ends = np.repeat(np.append(begins[1:], n), np.diff(np.append(begins, n)))
@@ -204,7 +209,9 @@ def _compared(rows: pa.Table, shared: np.ndarray) -> pa.RecordBatch | None:
     found: list[tuple[np.ndarray, np.ndarray]] = []
     active, d = np.arange(n), 1
     while len(active := active[active + d < ends[active]]):
-        pick = active[(label[active] != label[active + d]) & ((one[active] == two[active]) | (own[active] != own[active + d]))]
+        after = active + d
+        least = -(-PERCENT * (size[active] + size[after]) // (100 + PERCENT))  # shingles that a link must have in common
+        pick = active[(label[active] != label[after]) & ((one[active] == two[active]) | (own[active] != own[after])) & (np.minimum(common[active], common[after]) >= least)]
         for at in range(0, len(pick), COMPARED):
             i = pick[at : at + COMPARED]
             j = i + d
@@ -219,13 +226,30 @@ def _compared(rows: pa.Table, shared: np.ndarray) -> pa.RecordBatch | None:
     return batch(a=np.minimum(a, b), b=np.maximum(a, b))
 
 
-def _crossing(lists: DataFrame, nodes: DataFrame, shared: np.ndarray) -> DataFrame:
+def _own_shingles(dense: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, own: how many shingles of each of the `dense` nodes no other of them has."""
+
+    def run(rows: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(x) for x in utf8(rows.column("text"))]
+        return batch(node=np.repeat(rows.column("node").to_numpy(), [len(x) for x in sets]), shingle=np.concatenate(sets).astype(np.int64))
+
+    each = map_batches(texts.join(dense, "node", "left_semi").select("node", "text"), run, "node long, shingle long")
+    once = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
+    return once.groupBy("node").agg(F.count("*").alias("own"))
+
+
+def _crossing(lists: DataFrame, nodes: DataFrame, texts: DataFrame, shared: np.ndarray) -> DataFrame:
     """Pairs a < b with enough matches of nodes that share a list of `lists` (key, node, label) under different labels."""
     per_key = Window.partitionBy("key")
-    mixed = lists.withColumn("_low", F.min("label").over(per_key)).withColumn("_high", F.max("label").over(per_key)).withColumn("_size", F.count("*").over(per_key)).filter("_low != _high")
+    sized = lists.withColumn("_low", F.min("label").over(per_key)).withColumn("_high", F.max("label").over(per_key)).withColumn("_size", F.count("*").over(per_key))
+    mixed = cut(sized.filter("_low != _high").select("key", "node", "label", "_size"))
+    dense = mixed.filter(F.col("_size") > DENSE).select("node").distinct()
+    owned = _own_shingles(dense, texts)
     blocks = mixed.withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int")).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    dealt = blocks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("key", "node", "label", "_own", F.least("_own", "_other").alias("_one"), F.greatest("_own", "_other").alias("_two"))
-    with_sig = dealt.join(nodes.select("node", "sig"), "node").repartition("key", "_one", "_two").sortWithinPartitions("key", "_one", "_two")
+    dealt = blocks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("key", "node", "label", "_size", "_own", F.least("_own", "_other").alias("_one"), F.greatest("_own", "_other").alias("_two"))
+    facts = nodes.join(owned, "node", "left").select("node", "sig", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    common = F.when(F.col("_size") > DENSE, F.col("n") - F.col("own")).otherwise(F.col("n"))
+    with_sig = dealt.join(facts, "node").withColumn("common", common).repartition("key", "_one", "_two").sortWithinPartitions("key", "_one", "_two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -241,7 +265,7 @@ def _crossing(lists: DataFrame, nodes: DataFrame, shared: np.ndarray) -> DataFra
         if held is not None and len(held) and (out := _compared(held, shared)):
             yield out
 
-    return with_sig.select("key", "_one", "_two", "_own", "node", "label", "sig").mapInArrow(run, "a long, b long")
+    return with_sig.select("key", "_one", "_two", "_own", "node", "label", "n", "common", "sig").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -250,7 +274,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sigs = cut(signatures(docs))
     full = sigs.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = cut(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")))
-    nodes = full.select(F.col("doc_id").alias("node"), "sig").join(classes.select("node"), "node", "left_semi")
+    nodes = full.select(F.col("doc_id").alias("node"), "sig", F.col("n_shingles").alias("n")).join(classes.select("node"), "node", "left_semi")
     shared = _shared(nodes)
     posted = postings(nodes, shared)
     per_key = Window.partitionBy("key")
@@ -261,7 +285,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = cut(confirm(_matching(first, nodes), texts))
     labels = components(links)
     named = lists.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    second = _crossing(named, nodes, shared).join(first, ["a", "b"], "left_anti")
+    second = _crossing(named, nodes, texts, shared).join(first, ["a", "b"], "left_anti")
     more = cut(confirm(second, texts))
     if not more.isEmpty():
         one, other = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))

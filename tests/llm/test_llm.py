@@ -378,9 +378,10 @@ def test_near_duplicates_of_odd_rows(spark, odd, odd_rows):
     assert sorted((r["component_id"], r["kept"]) for r in lone if r["doc_id"]) == [(1, True)] and len(lone) == 2
 
 
-@pytest.mark.parametrize("block", [2000, 3])
-def test_near_duplicates_with_dense_groups_and_chains(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "dense"), [(2000, 64), (2000, 3), (3, 5)])
+def test_near_duplicates_with_dense_groups_and_chains(spark, monkeypatch, block, dense):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "DENSE", dense)
     r = random.Random(9)
     rows = []
     for g in range(6):

@@ -33,7 +33,7 @@ BUCKETS = (2048, 1024, 512)
 SIZES = (24, 16, 8)
 MEASURES = 11
 HIDDEN = 24
-PAGES = 700
+PAGES = 1000
 EPOCHS = 7
 TOGETHER = 16
 SEED = 20
@@ -111,7 +111,7 @@ class _Pages:
         text = self.words(least, most)
         if article:
             text = self.mark(text)
-        tag = r.choice(["p"] * 12 + ["div", "blockquote", "h2", "h3", "li", "pre", "figcaption"])
+        tag = r.choice(["p"] * 12 + ["div", "blockquote", "h2", "h3", "li", "li", "pre", "figcaption", "table"])
         if r.random() < 0.15:
             pieces = text.split(" ")
             at = r.randrange(len(pieces))
@@ -119,7 +119,12 @@ class _Pages:
             pieces[at] = r.choice([f"<b>{word}</b>", f'<a href="/x">{word}</a>', f"<em>{word}</em>", f"<span>{word}</span>"])
             text = " ".join(pieces)
         if tag == "li":
-            return f"<ul><li>{text}</li></ul>"
+            more = "".join(f"<li>{self.mark(self.words(1, 20)) if article else self.words(1, 20)}</li>" for _ in range(r.randint(0, 4)))
+            return f"<{(kind := r.choice(['ul', 'ol']))}><li>{text}</li>{more}</{kind}>"
+        if tag == "table":
+            cell = lambda: self.mark(self.words(1, 6)) if article else self.words(1, 6)
+            rows = "".join(f"<tr><{t}>{cell()}</{t}><{t}>{cell()}</{t}></tr>" for t in r.choices(["td", "td", "th"], k=r.randint(1, 4)))
+            return f"<table>{rows}</table><p>{text}</p>"
         if r.random() < 0.06:
             return f"<p><b>{text}<br>"
         return f"<{tag}>{text}</{tag}>"
@@ -137,8 +142,10 @@ class _Pages:
         if kind == "nav":
             return self.wrap(self.links(kind), kind, "nav nav nav div ul section")
         if kind == "header":
-            inner = r.choice([f"<h1>{self.words(1, 6)}</h1>", f"<div>{self.words(1, 6)}</div>", f"<p>{self.words(2, 12)}</p>", f'<a href="/">{self.words(1, 3)}</a>'])
-            return self.wrap(inner + (self.other("nav") if r.random() < 0.4 else ""), kind, "header header div")
+            title = f"<h1>{self.words(1, 6)}</h1>"
+            inner = r.choice([title, title, title + f"<p>{self.words(2, 9)}</p>", f"<div>{self.words(1, 6)}</div>", f"<p>{self.words(2, 12)}</p>", f'<a href="/">{self.words(1, 3)}</a>'])
+            inner += self.other("nav") if r.random() < 0.4 else ""
+            return f"<header>{inner}</header>" if r.random() < 0.4 else self.wrap(inner, kind, "header header div")
         if kind == "footer":
             inner = r.choice([f"&copy; {self.words(1, 12)}", f"<p>{self.words(3, 30)}</p>", f"<p>&copy; 2024 {self.words(2, 9)}</p>" + self.links(kind), self.links(kind), f"{self.words(2, 25)} &middot; {self.words(1, 9)}"])
             return self.wrap(inner, kind, "footer footer footer div")
@@ -161,10 +168,10 @@ class _Pages:
 
     def article(self) -> str:
         r = self.r
-        inner = []
+        inner, bare = [], r.random() < 0.08
         if r.random() < 0.8:
             title = f"<h1>{self.mark(self.words(2, 14))}</h1>"
-            inner.append(f"<header>{title}</header>" if r.random() < 0.08 else title)
+            inner.append(f"<header>{title}</header>" if r.random() < 0.08 and not bare else title)
         if r.random() < 0.2:
             inner.append(self.other("meta"))
         for _ in range(r.choice([1, 1, 2, 3, 4, 5, 6, 8, 12, 20, 30])):
@@ -174,6 +181,8 @@ class _Pages:
         if r.random() < 0.1:
             inner.append(self.other(r.choice(["comments", "meta", "nav"])))
         text = "".join(inner)
+        if bare:
+            return text
         if r.random() < 0.6:
             return f"<article{self.name('content')}>{text}</article>"
         return f"<{(tag := r.choice(['div', 'main', 'section', 'div', 'td']))} {r.choice(['class', 'id'])}=\"{r.choice(_NAMES['content'])}\">{text}</{tag}>" if r.random() < 0.85 else f"<div>{text}</div>"

@@ -6,7 +6,7 @@ step places many pieces of a length. A length's step takes whole runs, splits at
 most one, and a run that is taken loses at least half of its free space, so the plan has at most
 `capacity * 3 * (log2(capacity) + 1)` rows whatever the number of documents. Pieces then take the
 planned slots by their rank within their length. Ranks come from counts by (length, bucket), so that a
-length that most pieces share is still dealt over many tasks.
+length that most pieces share is dealt over as many buckets as it needs.
 
 Defined cases: a null or empty text is the closing id alone; a text longer than the capacity is cut,
 the last piece may be shorter; equal rows are packed each on its own; an empty table gives no rows;
@@ -51,7 +51,7 @@ _PRE_TOKEN = regex.compile(PATTERN.replace(r"\s", r"\t-\r \x85\xa0"))
 #: Characters whose normalisation is left to the tokenizer.
 _OTHER = regex.compile("[^\\x00-\u012f\u0131-\u017f]")
 #: Pieces of one length that a task ranks, on average.
-RANKED = 20_000
+RANKED = 500
 
 
 class _Encoder:
@@ -220,8 +220,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     all_pieces = cut(pieces(docs, path, capacity))
     counts = {r["length"]: r["n"] for r in all_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     slots = plan(counts, capacity)
-    buckets = max(1, -(-max(counts.values(), default=0) // RANKED))
-    dealt = all_pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    buckets = docs.sparkSession.createDataFrame([(length, -(-n // RANKED)) for length, n in counts.items()], "length long, _buckets long")
+    dealt = all_pieces.join(F.broadcast(buckets), "length").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_buckets"))).drop("_buckets")
     per_bucket = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

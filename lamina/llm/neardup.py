@@ -54,6 +54,9 @@ COMPARED = 20_000
 _XORS = np.frombuffer(xxhash.xxh3_128_digest(b"xor") * 64, dtype="<u4")[:COORDINATES] ^ (np.arange(COORDINATES, dtype=np.uint32) * np.uint32(0x9E3779B1))
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
+#: What undoes the factors, modulo 2**32.
+_INVERSES = np.array([pow(int(x), -1, 1 << 32) for x in _FACTORS], dtype=np.uint32)
+
 
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
     """The distinct shingles of a text as sorted 64-bit hashes."""
@@ -64,12 +67,16 @@ def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
 
 
 def signature(found: np.ndarray) -> bytes:
-    """The smallest value of each of the hash functions over the set."""
+    """For each of the hash functions, 32 bits of the shingle whose value is smallest.
+
+    The functions are bijections, so the shingle's bits follow from the value. Unlike the smallest values,
+    which crowd near zero, they are spread evenly, so few nodes meet by chance.
+    """
     low = np.full(COORDINATES, 0xFFFFFFFF, dtype=np.uint32)
     short = found.astype(np.uint32)
     for at in range(0, len(short), 4096):
         np.minimum(low, ((short[at : at + 4096, None] ^ _XORS) * _FACTORS).min(axis=0), out=low)
-    return low.tobytes()
+    return ((low * _INVERSES) ^ _XORS).tobytes()
 
 
 def signatures(docs: DataFrame) -> DataFrame:

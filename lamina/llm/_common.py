@@ -14,7 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 #: Distinct words that a Python worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
+#: Rows that are turned into Python objects together; texts may be long.
+ROWS = 1000
+#: As many rows as a batch has, for short rows.
+ALL_ROWS = 1 << 30
 
 _shipped: set[str] = set()
 
@@ -38,9 +42,9 @@ def ship(spark: SparkSession) -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """`df`, computed once into the shared checkpoint folder, so that lost executors cost no recomputation."""
-    context = df.sparkSession.sparkContext
-    if context.getConf().get("spark.checkpoint.dir") is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lamina-checkpoint-"))
+    session = df.sparkSession
+    if session.sparkContext.getCheckpointDir() is None:
+        session.sparkContext.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamina-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -48,14 +52,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
-    """`function` over the Arrow batches of `df`, without a shuffle."""
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, rows: int = ROWS) -> DataFrame:
+    """`function` over the Arrow batches of `df`, `rows` at a time, without a shuffle."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := function(batch)) is not None:
-                yield out
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                if (out := function(whole.slice(at, rows))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm._common import batch, map_batches, mix
+from lamina.llm._common import ALL_ROWS, batch, map_batches, mix
 
 #: Labelled rows to fit on, at most, but for the chance of the sampling hash.
 FIT_ROWS = 20_000
@@ -41,7 +41,7 @@ HASHES = 3
 #: Bytes in an n-gram.
 WIDTH = 4
 #: Bytes of text that are counted together.
-GROUP = 1 << 20
+GROUP = 1 << 19
 UNKNOWN = "und"
 #: Texts whose best language has a smaller share are taken for no language by `keep`.
 LEAST_SCORE = 0.3
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Filters:
             counts.append(many)
         return batch(lang=names, gram=np.concatenate(grams), n=np.concatenate(counts))
 
-    counted = map_batches(sample.select("lang", "text"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = map_batches(sample.select("lang", "text"), run, "lang string, gram long, n long", ALL_ROWS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     share = counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     typical = share.withColumn("most", F.max("share").over(Window.partitionBy("gram"))).filter(F.col("share") * RATIO > F.col("most"))
     best = typical.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("share"), "gram"))).filter(F.col("place") <= GRAMS)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm._common import batch, cut, map_batches, mix, ship, shingles, utf8, word_hashes
+from lamina.llm._common import ALL_ROWS, batch, cut, map_batches, mix, ship, shingles, utf8, word_hashes
 
 WIDTH = 5
 COORDINATES = 64
@@ -111,7 +111,7 @@ def _shared(nodes: DataFrame) -> np.ndarray:
         return batch(counter=there, n=counts[there])
 
     out = np.zeros(COUNTERS, dtype=np.int64)
-    for row in map_batches(nodes.select("sig"), run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toLocalIterator():
+    for row in map_batches(nodes.select("sig"), run, "counter long, n long", ALL_ROWS).groupBy("counter").agg(F.sum("n").alias("n")).toLocalIterator():
         out[row["counter"]] = row["n"]
     return out
 
@@ -131,7 +131,7 @@ def postings(nodes: DataFrame, shared: np.ndarray) -> DataFrame:
         keys = np.take_along_axis(keys, order, axis=1)
         return batch(key=keys.ravel().astype(np.int64), node=np.repeat(rows.column("node").to_numpy(), order.shape[1]))
 
-    return map_batches(nodes.select("node", "sig"), run, "key long, node long")
+    return map_batches(nodes.select("node", "sig"), run, "key long, node long", ALL_ROWS)
 
 
 def _matching(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from lamina.llm import langid, neardup, packing, quality, secrets
 from lamina.llm._common import cut
 
+#: Percent of the shingles of two documents together that near-duplicates have in common at least.
+NEAR = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents by the base rules and the line rule; lines above the limit are removed from the rest."""
@@ -24,8 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near-duplicates."""
-    return neardup.keep_first(docs)
+    """Keeps one document of each component of near-duplicates, at `NEAR` percent."""
+    return neardup.keep_first(docs, NEAR)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

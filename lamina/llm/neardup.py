@@ -2,7 +2,7 @@
 
 A document's set is its distinct five-word shingles. Equal sets form a class, whose smallest doc_id is a
 node. Every node has a signature of `COORDINATES` minima. A pair of signatures that agree in at least
-`MATCHES` coordinates must agree in one of the `COORDINATES - MATCHES + 1` rarest of either, for any
+m coordinates (`MATCHES`) must agree in one of the `COORDINATES - m + 1` rarest of either, for any
 fixed order of the values, so a node is posted under these coordinate-value pairs alone (prefix); the
 order puts values that many nodes share last, so that what long lists would add is skipped and only
 counted on the signatures. Pairs with enough matches are confirmed on the full sets, exactly, with
@@ -12,12 +12,12 @@ Work on dense groups stays linear: the first round pairs each list's smallest no
 joins what is confirmed into components. The second round looks only at lists that still hold several
 components and pairs every two nodes of different ones that have not been compared yet, in blocks of
 `BLOCK` nodes; it leaves no candidate out. Two sets with a link have 85/185 of the sum of their sizes
-in common. Sizes alone rule out many pairs; in lists of over `DENSE` nodes, where most candidates of a group of
+(at 80 percent 80/180) in common. Sizes alone rule out many pairs; in lists of over `DENSE` nodes, where most candidates of a group of
 loose copies would miss the threshold, the shingles that no other node of such lists has are counted, and
 nodes whose other shingles are too few are not paired.
 
-A pair at exactly the threshold (0.85) has fewer than `MATCHES` of 64 equal coordinates with a
-probability below 1e-6, and less above it.
+`MATCHES` has a number for each threshold, 85 percent (op8) and 80 (the pipeline). A pair at exactly the
+threshold has fewer equal coordinates of 64 with a probability below 1e-6, and less above it.
 
 Defined cases: ASCII capitals are lowered, words end at ASCII white space; fewer than five words form
 one shingle; no words, or a null text, form an empty set, which is linked with nothing; repeated rows
@@ -39,9 +39,10 @@ from lamina.llm._common import ALL_ROWS, batch, cut, map_batches, mix, ship, shi
 
 WIDTH = 5
 COORDINATES = 64
-MATCHES = 38
-#: Similar if 100 * intersection >= PERCENT * union.
+#: Similar if 100 * intersection >= percent * union.
 PERCENT = 85
+#: Equal coordinates that are asked of a candidate, by percent.
+MATCHES = {PERCENT: 38, 80: 34}
 #: Counters of the sketch that orders values by how many nodes share them; its size is fixed.
 COUNTERS = 1 << 16
 #: Nodes of a list that are compared with as many others in one task.
@@ -116,32 +117,32 @@ def _shared(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefix(keys: np.ndarray, shared: np.ndarray) -> np.ndarray:
+def _prefix(keys: np.ndarray, shared: np.ndarray, matches: int) -> np.ndarray:
     """The coordinates of each row's rarest coordinate-value pairs."""
     mixed = mix(keys)
-    return np.lexsort((mixed, shared[(mixed % np.uint64(COUNTERS)).astype(np.int64)]))[:, : COORDINATES - MATCHES + 1]
+    return np.lexsort((mixed, shared[(mixed % np.uint64(COUNTERS)).astype(np.int64)]))[:, : COORDINATES - matches + 1]
 
 
-def postings(nodes: DataFrame, shared: np.ndarray) -> DataFrame:
+def postings(nodes: DataFrame, shared: np.ndarray, matches: int) -> DataFrame:
     """key, node: every node under its rarest coordinate-value pairs."""
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
         keys = _values(rows.column("sig").to_pylist())
-        order = _prefix(keys, shared)
+        order = _prefix(keys, shared, matches)
         keys = np.take_along_axis(keys, order, axis=1)
         return batch(key=keys.ravel().astype(np.int64), node=np.repeat(rows.column("node").to_numpy(), order.shape[1]))
 
     return map_batches(nodes.select("node", "sig"), run, "key long, node long", ALL_ROWS)
 
 
-def _matching(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _matching(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
     """The pairs whose signatures agree in enough coordinates."""
     left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
         equal = (_values(rows.column("sig_a").to_pylist()) == _values(rows.column("sig_b").to_pylist())).sum(axis=1)
-        keep = pa.array(equal >= MATCHES)
+        keep = pa.array(equal >= matches)
         return batch(a=rows.column("a").filter(keep), b=rows.column("b").filter(keep))
 
     return map_batches(pairs.join(right, "b").join(left, "a"), run, "a long, b long")
@@ -155,7 +156,7 @@ def similar(one: np.ndarray, other: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(one) + len(other) - both)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -165,7 +166,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for a, text, other in zip(rows.column("a").to_pylist(), utf8(rows.column("text_a")), utf8(rows.column("text_b")), strict=True):
             if a != last:
                 last, one = a, shingle_set(text)
-            keep.append(similar(one, shingle_set(other)))
+            keep.append(similar(one, shingle_set(other), percent))
         return batch(a=rows.column("a").filter(pa.array(keep)), b=rows.column("b").filter(pa.array(keep)))
 
     return map_batches(pairs.join(right, "b").join(left, "a"), run, "a long, b long")
@@ -199,7 +200,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _compared(rows: pa.Table, shared: np.ndarray) -> pa.RecordBatch | None:
+def _compared(rows: pa.Table, shared: np.ndarray, percent: int) -> pa.RecordBatch | None:
     """Pairs of rows of one group (key, _one, _two) with different labels and enough matches.
 
     Rows are sorted by group. All groups advance together: step d compares each row with the d-th after it.
@@ -211,20 +212,20 @@ def _compared(rows: pa.Table, shared: np.ndarray) -> pa.RecordBatch | None:
     ends = np.repeat(np.append(begins[1:], n), np.diff(np.append(begins, n)))
     keys = _values(rows.column("sig").to_pylist())
     posted = np.zeros((n, COORDINATES), dtype=bool)
-    np.put_along_axis(posted, _prefix(keys, shared), True, axis=1)
+    np.put_along_axis(posted, _prefix(keys, shared, MATCHES[percent]), True, axis=1)
     values, coordinate = keys.astype(np.uint32), key.astype(np.uint64) >> np.uint64(32)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     active, d = np.arange(n), 1
     while len(active := active[active + d < ends[active]]):
         after = active + d
-        least = -(-PERCENT * (size[active] + size[after]) // (100 + PERCENT))  # shingles that a link must have in common
+        least = -(-percent * (size[active] + size[after]) // (100 + percent))  # shingles that a link must have in common
         pick = active[(label[active] != label[after]) & ((one[active] == two[active]) | (own[active] != own[after])) & (np.minimum(common[active], common[after]) >= least)]
         for at in range(0, len(pick), COMPARED):
             i = pick[at : at + COMPARED]
             j = i + d
             equal = values[i] == values[j]
             first = (equal & posted[i] & posted[j]).argmax(axis=1)
-            keep = (equal.sum(axis=1) >= MATCHES) & (first == coordinate[i])
+            keep = (equal.sum(axis=1) >= MATCHES[percent]) & (first == coordinate[i])
             found.append((node[i[keep]], node[j[keep]]))
         d += 1
     if not found:
@@ -245,7 +246,7 @@ def _own_shingles(dense: DataFrame, texts: DataFrame) -> DataFrame:
     return once.groupBy("node").agg(F.count("*").alias("own"))
 
 
-def _crossing(lists: DataFrame, nodes: DataFrame, texts: DataFrame, shared: np.ndarray) -> DataFrame:
+def _crossing(lists: DataFrame, nodes: DataFrame, texts: DataFrame, shared: np.ndarray, percent: int) -> DataFrame:
     """Pairs a < b with enough matches of nodes that share a list of `lists` (key, node, label) under different labels."""
     per_key = Window.partitionBy("key")
     sized = lists.withColumn("_low", F.min("label").over(per_key)).withColumn("_high", F.max("label").over(per_key)).withColumn("_size", F.count("*").over(per_key))
@@ -267,15 +268,15 @@ def _crossing(lists: DataFrame, nodes: DataFrame, texts: DataFrame, shared: np.n
             begins = np.flatnonzero(np.any([x[:-1] != x[1:] for x in keys], axis=0)) + 1
             whole = int(begins[-1]) if len(begins) else 0  # the last group may go on
             held = rows.slice(whole)
-            if whole and (out := _compared(rows.slice(0, whole), shared)):
+            if whole and (out := _compared(rows.slice(0, whole), shared, percent)):
                 yield out
-        if held is not None and len(held) and (out := _compared(held, shared)):
+        if held is not None and len(held) and (out := _compared(held, shared, percent)):
             yield out
 
     return with_sig.select("key", "_one", "_two", "_own", "node", "label", "n", "common", "sig").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (doc_id is that)."""
     ship(docs.sparkSession)
     sigs = cut(signatures(docs))
@@ -283,17 +284,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = cut(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")))
     nodes = full.select(F.col("doc_id").alias("node"), "sig", F.col("n_shingles").alias("n")).join(classes.select("node"), "node", "left_semi")
     shared = _shared(nodes)
-    posted = postings(nodes, shared)
+    posted = postings(nodes, shared, MATCHES[percent])
     per_key = Window.partitionBy("key")
     lists = cut(posted.withColumn("hub", F.min("node").over(per_key)).withColumn("_high", F.max("node").over(per_key)).filter("hub != _high").select("key", "node", "hub"))
     first = cut(lists.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
     involved = lists.select("node").distinct()
     texts = cut(docs.select(F.col("doc_id").alias("node"), "text").join(involved, "node", "left_semi"))
-    links = cut(confirm(_matching(first, nodes), texts))
+    links = cut(confirm(_matching(first, nodes, MATCHES[percent]), texts, percent))
     labels = components(links)
     named = lists.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    second = _crossing(named, nodes, texts, shared).join(first, ["a", "b"], "left_anti")
-    more = cut(confirm(second, texts))
+    second = _crossing(named, nodes, texts, shared, percent).join(first, ["a", "b"], "left_anti")
+    more = cut(confirm(second, texts, percent))
     if not more.isEmpty():
         one, other = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         joined = more.join(one, "a", "left").join(other, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
@@ -306,7 +307,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows, in all their columns, without the documents of each component that are not its smallest doc_id."""
-    dropped = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+    dropped = near_duplicates(docs, percent).filter("NOT kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

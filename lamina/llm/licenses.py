@@ -12,15 +12,20 @@ Only a window that holds the shingle of a template's minimum can collide, so tex
 (at most `BANDS` for each template, a fixed number) are left out before windows are made; nothing that
 could collide is lost.
 
-Defined cases: case and characters other than letters and digits do not count; a null text, and a text of
-fewer than five words, match nothing; texts of any length are read whole; repeated rows are reported each;
-documents without a match have no row; templates of fewer than five words are refused; other columns
-are ignored.
+Short notices have no five-word shingle. Their words are one shingle of their own length, so a window of as
+many words, one of which starts at every word, holds all of it or nothing: they are found by exact equality.
+
+Defined cases: case and characters other than letters and digits do not count; a null text matches nothing,
+and a text of fewer than five words only short notices; texts of any length are read whole; repeated rows are
+reported each; documents without a match have no row; templates of fewer than five words are refused, as they
+belong to the short notices; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,9 +50,15 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
+#: Short notices.
+NOTICES = {"All-rights-reserved": "All rights reserved."}
+
+#: What stands between words of a text in lower case.
+BETWEEN = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), r"[^a-z0-9\x{80}-\x{10FFFF}]+", -1), "")
+    return F.array_remove(F.split(F.lower(text), BETWEEN, -1), "")
 
 
 def _shingles(column: str) -> Column:
@@ -61,11 +72,15 @@ def _seeded(h: Column) -> Column:
     return F.xxhash64(h, F.col("band"))
 
 
+def _own_words(text: str) -> list[str]:
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.lower())
+
+
 def template_table(spark: SparkSession, templates: dict[str, str] | None = None) -> DataFrame:
     """license, shingles (distinct), stride and length (in shingles) of the windows of every template."""
     templates = TEMPLATES if templates is None else templates
     for name, text in templates.items():
-        if len(re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.lower())) < WIDTH:
+        if len(_own_words(text)) < WIDTH:
             raise ValueError(f"the template {name} has fewer than {WIDTH} words")
     rows = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in templates.items()])
     cut = spark.range(1).select(F.explode(rows).alias("t")).select("t.license", words(F.col("t.text")).alias("_words"))
@@ -73,8 +88,27 @@ def template_table(spark: SparkSession, templates: dict[str, str] | None = None)
     return sized.select("license", "shingles", "stride", (F.size("_words") - WIDTH + F.col("stride")).alias("length"))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+def scan_short(docs: DataFrame, notices: dict[str, str]) -> DataFrame:
+    """The columns of `scan`, for every document with one of the short notices; every place is a window."""
+    cut = {name: _own_words(text) for name, text in notices.items()}
+    if not all(cut.values()):
+        raise ValueError("a notice has no words")
+    low = F.lower("text")
+    some = reduce(or_, [low.rlike(BETWEEN.join(own)) for own in cut.values()], F.lit(False))  # few texts are cut into words
+    rows = docs.filter(some).select("doc_id", words(F.col("text")).alias("_words"))
+
+    def places(own: list[str]) -> Column:
+        starts = F.when(F.size("_words") >= len(own), F.sequence(F.lit(0), F.size("_words") - len(own))).otherwise(F.array().cast("array<int>"))
+        return F.filter(starts, lambda i: F.slice("_words", i + 1, len(own)) == F.array(*[F.lit(x) for x in own]))
+
+    found = F.array(*[F.struct(F.lit(name).alias("license"), places(own).alias("at")) for name, own in cut.items()])
+    each = rows.select("doc_id", F.explode(found).alias("x")).filter(F.size("x.at") > 0)
+    return each.select("doc_id", "x.license", F.lit(1.0).alias("containment"), F.size("x.at").cast("long").alias("n_windows"), F.col("x.at")[0].cast("long").alias("first_word"))
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
     """doc_id, license, containment (the best of its windows), n_windows (verified), first_word (of the first), for every match."""
+    notices = NOTICES if notices is None else notices
     spark = docs.sparkSession
     known = template_table(spark, templates)
     seeds = known.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))).withColumn("least", F.array_min(F.transform("shingles", _seeded)))
@@ -93,4 +127,5 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     least = F.array_min(F.transform("_window", _seeded))
     collided = windows.filter(least == F.col("least")).select("_row", "doc_id", "license", "_start", (F.size(F.array_intersect("shingles", "_window")) / F.size("shingles")).alias("_share"))
     verified = collided.filter(F.col("_share") >= CONTAINS)
-    return verified.groupBy("_row", "doc_id", "license").agg(F.max("_share").alias("containment"), F.count_distinct("_start").alias("n_windows"), F.min("_start").cast("long").alias("first_word")).drop("_row")
+    long = verified.groupBy("_row", "doc_id", "license").agg(F.max("_share").alias("containment"), F.count_distinct("_start").alias("n_windows"), F.min("_start").cast("long").alias("first_word")).drop("_row")
+    return long.unionByName(scan_short(docs, notices)) if notices else long

@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from lamina.llm import neardup, quality
+from lamina.llm import licenses, neardup, quality, queries
 from tests.llm.test_llm import SMALL, WORD, by_id, frame, words
 
 
@@ -67,3 +67,24 @@ def test_pipeline_keeps_firsts_at_80_percent(spark):
     kept = {x["doc_id"] for x in quality.assess(docs).filter("kept").collect()}
     label = firsts_by_brute_force([(x["doc_id"], x["text"]) for x in docs.collect() if x["doc_id"] in kept], 80)
     assert {x["doc_id"] for x in corpus_pipeline.run(spark, SMALL).collect()} == {d for d, x in label.items() if d == x}
+
+
+# short license notices
+
+
+def test_short_notices(spark):
+    r = random.Random(23)
+    rows = [(1, "All rights reserved."), (2, f"{words(r, 9)}\n(c) ALL -- Rights\nreserved! {words(r, 7)} all rights reserved"), (3, "all rights"), (4, "small rights reserved"), (5, "all rights reservedly"), (6, None), (7, ""), (8, "All rights reserved."), (8, "All rights reserved."), (9, "all the rights reserved"), (10, "all small rights all rights reserved")]
+    got = sorted((x["doc_id"], x["license"], x["containment"], x["n_windows"], x["first_word"]) for x in licenses.scan(frame(spark, rows)).collect())
+    name = "All-rights-reserved"
+    assert got == [(1, name, 1.0, 1, 0), (2, name, 1.0, 2, 10), (8, name, 1.0, 1, 0), (8, name, 1.0, 1, 0), (10, name, 1.0, 1, 3)]
+    two = {x["license"] for x in licenses.scan(frame(spark, rows), notices={"one": "Reserved", "two": "all rights"}).collect()}
+    assert two == {"one", "two"} and licenses.scan(frame(spark, rows), notices={}).count() == 0
+    with pytest.raises(ValueError):
+        licenses.scan(frame(spark, rows), notices={"none": "."})
+
+
+def test_short_notices_of_the_table(spark):
+    tokens = {x["doc_id"]: [w for w in re.split(r"[^a-z0-9\x80-\U0010ffff]+", (x["text"] or "").lower()) if w] for x in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    brute = {d for d, own in tokens.items() if any(own[i : i + 3] == ["all", "rights", "reserved"] for i in range(len(own)))}
+    assert {x["doc_id"] for x in queries.op3_license_bands(spark, SMALL).filter("license = 'All-rights-reserved'").collect()} == brute and brute

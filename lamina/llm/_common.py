@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -11,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Distinct words that a Python worker remembers before it starts afresh.
@@ -20,6 +22,11 @@ ROWS = 1000
 #: As many rows as a batch has, for short rows.
 ALL_ROWS = 1 << 30
 
+#: Counters by which hot keys are found; their number is fixed, whatever the input.
+COUNTERS = 1 << 14
+#: Rows that a key may have in one task in any case.
+LEAST_HOT = 1000
+
 _shipped: set[str] = set()
 
 
@@ -41,13 +48,43 @@ def ship(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once into the shared checkpoint folder, so that lost executors cost no recomputation."""
+    """`df`, computed once into the shared checkpoint folder, so that lost executors cost no recomputation.
+
+    The folder is that of `spark.checkpoint.dir`. Where it is unset, a local session gets a temporary one; on a
+    cluster, whose executors would not share that, it is an error.
+    """
     session = df.sparkSession
-    if session.sparkContext.getCheckpointDir() is None:
-        session.sparkContext.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamina-checkpoint-"))
+    context = session.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = session.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lamina-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def salted_join(many: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """`many` joined on `key` with `few`, which has a key once; the rows of a hot key in `many` are dealt by `by`.
+
+    Rows are counted by `COUNTERS` buckets of the key's hash. A bucket with over twice a partition's share is
+    dealt over as many tasks as it has shares, and the rows of `few` that are in it are copied to each. Copies
+    are few: they add as many rows as there are shares in hot buckets, for each key there. Both frames are read
+    twice, so they should be cheap or cut. `how` is inner, left or left_semi.
+    """
+    session = many.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(COUNTERS))
+    counts = [(r["bucket"], r["n"]) for r in many.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).collect()]  # COUNTERS rows at most
+    share = max(LEAST_HOT, sum(n for _, n in counts) // max(1, int(session.conf.get("spark.sql.shuffle.partitions"))))
+    hot = [(b, -(-n // share)) for b, n in counts if n > 2 * share]
+    if not hot:
+        return many.join(few, key, how)
+    table = F.broadcast(session.createDataFrame(hot, "__bucket long, __salts long"))  # COUNTERS rows at most
+    salts = F.coalesce("__salts", F.lit(1))
+    left = many.withColumn("__bucket", bucket).join(table, "__bucket", "left").withColumn("__salt", F.pmod(F.xxhash64(by), salts)).drop("__bucket", "__salts")
+    right = few.withColumn("__bucket", bucket).join(table, "__bucket", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("__bucket", "__salts")
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

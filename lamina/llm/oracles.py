@@ -48,7 +48,7 @@ def secret_ledger() -> str:
     parts = []
     for place, rule in enumerate(secrets.RULES):
         pattern = rule.pattern.replace("'", "''")
-        parts.append(rf"""SELECT doc_id, '{rule.kind}' AS kind, {place} AS place, start, start + length(found) AS "end" FROM (
+        parts.append(rf"""SELECT doc_id, '{rule.kind}' AS kind, {place} AS place, {"start + length(found) - length(g)" if rule.tail else "start"} AS start, start + length(found) AS "end" FROM (
   SELECT doc_id, found, g, CAST(sum(length(piece)) OVER o + coalesce(sum(length(found)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
   FROM (SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, unnest(p[1:len(m)]) AS piece, unnest(m) AS found, unnest(g) AS g FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS g FROM d WHERE regexp_matches(t, '{pattern}')))
   WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE length(g) >= {rule.least}""")

@@ -10,9 +10,13 @@ The model is trained here, on pages that `sample_page` composes from a seed: art
 headers, footers, sidebars, notices, adverts, forms and comments, in many layouts, with and without
 telling names. Training sees none of the input.
 
-Defined cases: a null or empty page has an empty text; a page of any length is read whole; repeated rows
-get equal results; a page without article blocks has an empty text; an empty table gives no rows; other
-columns are ignored.
+Pages are labelled together while they fill at most `CELLS` places; a page of more blocks is read in stretches of
+as many, whose states are handed on both ways, so memory stays bounded and the result is that of one piece.
+
+Defined cases: a null or empty page has an empty text; a page of any length is read whole, in linear time; repeated
+rows get equal results, as pages do not look at each other; a block at even odds belongs to the article; a page
+without article blocks has an empty text; an empty table gives no rows; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +41,9 @@ PAGES = 1000
 EPOCHS = 7
 TOGETHER = 16
 SEED = 20
-#: Pages that are labelled together.
+#: Pages that are labelled together at most, and blocks that they have room for.
 GROUP = 64
+CELLS = 1 << 15
 INNERMOST = 3
 
 #: Names by the role of what they mark.
@@ -236,7 +241,8 @@ def _measures(block: Block, i: int, n: int) -> list[float]:
 class Features:
     """Sequences as padded arrays: bags of buckets as (row, column, bucket) lists and measures."""
 
-    def __init__(self, pages: list[list[Block]]) -> None:
+    def __init__(self, pages: list[list[Block]], begin: int = 0, whole: int = 0) -> None:
+        """`begin` and `whole` place the blocks of a single page that is read in stretches."""
         self.lengths = np.array([len(x) for x in pages])
         self.steps, self.pages = int(self.lengths.max()), len(pages)
         self.measures = np.zeros((self.steps, self.pages, MEASURES), dtype=np.float32)
@@ -252,7 +258,7 @@ class Features:
                 bags[1].append(second)
                 bags[2].append(_bag(block.text.lower().split(), BUCKETS[2]))
                 cells.append(i * self.pages + p)
-                self.measures[i, p] = _measures(block, i, len(page))
+                self.measures[i, p] = _measures(block, begin + i, whole or len(page))
         self.bags = []
         where = np.array(cells)
         for bag in bags:
@@ -291,10 +297,10 @@ class Labeller:
             parts.append(flat.reshape(x.steps, x.pages, -1))
         return np.concatenate([*parts, x.measures], axis=2)
 
-    def read(self, inputs: np.ndarray, mask: np.ndarray, way: str, keep: list | None = None) -> np.ndarray:
-        """Hidden states of one direction; a padded step leaves the state as it is."""
+    def read(self, inputs: np.ndarray, mask: np.ndarray, way: str, keep: list | None = None, state: list[np.ndarray] | None = None) -> np.ndarray:
+        """Hidden states of one direction; a padded step leaves the state as it is. `state` is gone on from and renewed."""
         steps, pages, _ = inputs.shape
-        h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
+        h, c = state or (np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32))
         back, out = self.weights[f"back_{way}"], np.zeros((steps, pages, HIDDEN), np.float32)
         ready = inputs @ self.weights[f"in_{way}"] + self.weights[f"bias_{way}"]
         for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
@@ -310,12 +316,32 @@ class Labeller:
                 keep.append((t, h, c, f, i, o, g, tanh_c, m))
             h, c = new_h, new_c
             out[t] = h
+        if state is not None:
+            state[:] = h, c
         return out
 
+    def _odds(self, forth: np.ndarray, back: np.ndarray, inputs: np.ndarray) -> np.ndarray:
+        return _sigmoid(np.concatenate([forth, back, inputs], axis=2) @ self.weights["out"] + self.weights["out_bias"])[:, :, 0]
+
     def probabilities(self, x: Features) -> np.ndarray:
         inputs = self.inputs(x)
-        both = np.concatenate([self.read(inputs, x.mask, "f"), self.read(inputs, x.mask, "b"), inputs], axis=2)
-        return _sigmoid(both @ self.weights["out"] + self.weights["out_bias"])[:, :, 0]
+        return self._odds(self.read(inputs, x.mask, "f"), self.read(inputs, x.mask, "b"), inputs)
+
+    def of_long(self, page: list[Block], stretch: int) -> np.ndarray:
+        """The probabilities of one page's blocks, read in stretches."""
+        starts = range(0, len(page), stretch)
+        forth, out = [], np.zeros(len(page), np.float32)
+        for way, order in (("f", starts), ("b", reversed(starts))):
+            state = [np.zeros((1, HIDDEN), np.float32)] * 2
+            for at in order:
+                x = Features([page[at : at + stretch]], at, len(page))
+                inputs = self.inputs(x)
+                hidden = self.read(inputs, x.mask, way, state=state)
+                if way == "f":
+                    forth.append(hidden)
+                else:
+                    out[at : at + stretch] = self._odds(forth[at // stretch], hidden, inputs)[:, 0]
+        return out
 
     def gradients(self, x: Features, labels: np.ndarray) -> dict[str, np.ndarray]:
         w, grad = self.weights, {}
@@ -396,11 +422,19 @@ def label(model: Labeller, pages: list[list[Block]]) -> list[np.ndarray]:
     """For every page, whether each block belongs to the article."""
     out: list[np.ndarray] = [np.empty(0, bool)] * len(pages)
     order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
-    for at in range(0, len(order), GROUP):
-        group = order[at : at + GROUP]
-        found = model.probabilities(Features([pages[i] for i in group])) >= 0.5
-        for p, i in enumerate(group):
-            out[i] = found[: len(pages[i]), p]
+    at = 0
+    while at < len(order):
+        size = 1
+        while size < GROUP and at + size < len(order) and (size + 1) * len(pages[order[at + size]]) <= CELLS:
+            size += 1
+        group = order[at : at + size]
+        if len(pages[group[0]]) > CELLS:
+            out[group[0]] = model.of_long(pages[group[0]], CELLS) >= 0.5
+        else:
+            found = model.probabilities(Features([pages[i] for i in group])) >= 0.5
+            for p, i in enumerate(group):
+                out[i] = found[: len(pages[i]), p]
+        at += size
     return out
 
 
@@ -423,5 +457,3 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
         )
 
     return map_batches(pages.select("page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long, n_blocks long, n_kept long")
-
-

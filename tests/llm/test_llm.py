@@ -69,6 +69,33 @@ def test_blocks_of_broken_pages():
     assert len(blocks("<div>" * 3000 + "deep")) == 1
 
 
+def test_nothing_swallows_the_rest_of_a_page():
+    texts = lambda page: [b.text for b in blocks(page)]
+    assert texts("<p>a one</p><svg width=1/><article><p>b two</p></article>") == ["a one", "b two"]
+    assert texts("<svg><title>no</title></svg>x<svg><p>y") == ["x", "y"]
+    assert texts("x<object data=q><p>in</p>after") == ["x", "in", "after"] and texts("<canvas><p>c</p>") == ["c"]
+    assert texts("<math><mi>x</mi><mo/>y</math>z") == ["xyz"] and texts("<noscript>n<p>z") == ["n", "z"]
+    assert texts("a<template><p>t</template>b<iframe>i</iframe>c") == ["abc"] and texts("a<script>x<p>y") == ["a"]
+    assert texts("<title>a <b> &amp; c</title>d") == ["a <b> & c", "d"]
+    assert texts("<p title=it's>x</p><p>don't</p>") == ["x", "don't"] and texts("<a x='1>2'>b</a> 1 < 2 <") == ["b 1 < 2 <"]
+
+
+@pytest.mark.parametrize("many", [3, 70, 300, 5000])
+def test_end_tags_find_their_elements_at_any_depth(many):
+    found = blocks("<article>" + "<b>" * many + "x</article><footer>f")
+    assert [(b.text, b.path[0][0], b.path[-1][0]) for b in found] == [("x", "<article", "<b"), ("f", "<footer", "<footer")]
+    found = blocks("<div><table><tr><td>" + "<i>" * many + "x</div>y</table>z</div>w")
+    assert [(b.text, b.path[:1]) for b in found] == [("x", (("<div",),)), ("y", (("<div",),)), ("z", (("<div",),)), ("w", ())]
+
+
+@pytest.mark.parametrize("part", ["<a", '<a "', '<a x=" > " y', "<!--", "<div>a", "<p>", "<b><p>", "<svg>", "<template>", "<title>", "<", "&", "<p class='a class=\"b ", "</", "<a = = =", "<table><tr><td>", "<script>", "<li><ul>"])
+def test_a_megabyte_of_broken_tags_is_read_in_linear_time(part):
+    began = time.time()
+    for page in (part * (1_000_000 // len(part)), part * (1_000_000 // len(part)) + ">x"):
+        blocks(page)
+    assert time.time() - began < 20
+
+
 def test_labeller_on_pages_it_has_not_seen():
     model = blocklabel.trained(300, 5)
     seqs = [x for x in (blocklabel.training_sequence(s) for s in range(5_000_000, 5_000_150)) if x[0]]
@@ -77,13 +104,57 @@ def test_labeller_on_pages_it_has_not_seen():
     assert (guess == truth).mean() > 0.97
 
 
+#: Pages written by hand, not composed: lines that belong to the article start with a tilde.
+BY_HAND = (
+    """<!doctype html><html><head><title>River levels rise - The Valley Post</title></head><body><header class="masthead"><a href="/">The Valley Post</a><nav><a href="/news">News</a> <a href="/sport">Sport</a></nav></header>
+    <main><article class="story"><h1>~River levels rise after a week of rain</h1><p>~The river at Halden stood two metres above its usual mark on Tuesday, officials said, and more rain is expected before the weekend.</p>
+    <p>~Families in the lower town were told to move cars and furniture. "We have seen this before," said a shopkeeper who has lived there for thirty years.</p><div class="ad">Advertisement: new boots, half price</div><p>~The council will meet on Thursday.</p></article>
+    <aside class="sidebar"><h2>Most read</h2><ul><li><a href="/1">Bridge closed</a></li><li><a href="/2">Market moves</a></li></ul></aside></main>
+    <section id="comments"><h3>Comments</h3><div class="comment"><b>anna</b><p>Stay safe everyone, it was worse in 1998.</p></div></section><footer><p>Copyright 2024 The Valley Post. All rights reserved.</p></footer></body></html>""",
+    """<html><body><div id="nav"><ul><li><a href="/">Home</a></li><li><a href="/about">About</a></li></ul></div><div id="content"><h1>~How to bake rye bread</h1><p>~Mix the flour, water and salt and leave the dough overnight in a warm place.</p>
+    <h2>~What you need</h2><ul><li>~500 g rye flour</li><li>~400 ml water</li></ul><p>~Bake for an hour at 220 degrees and let the loaf cool before you cut it.</p></div><div id="footer"><a href="/imprint">Imprint</a> | <a href="/privacy">Privacy</a></div></body></html>""",
+    """<html><head><style>p{color:red}</style></head><body><div class="cookie-banner"><p>We use cookies to improve your visit.</p><button>Accept</button></div><form action="/search"><label>Search</label><input name="q"><button>Go</button></form>
+    <div class="post"><h2>~Notes on sharpening chisels</h2><p>~A flat back matters more than the angle of the bevel, and most new chisels are not flat.</p><blockquote>~Work the back on a coarse stone until the scratches run across all of it.</blockquote><p>~Then go on to the finer stones.</p></div>
+    <div class="newsletter"><p>Sign up for our newsletter</p><input type="email"><button>Subscribe</button></div><footer>&copy; 2023 workshop notes</footer></body></html>""",
+    """<body><table><tr><td class="menu"><a href="a.html">Index</a><br><a href="b.html">Archive</a></td><td class="main"><h1>~The history of the mill</h1><p>~The mill was built in 1742 and burned twice.<p>~After the second fire the wheel was moved to the north bank, where it still stands.</td></tr></table><div class="footer">Last changed in May. <a href="mailto:x">Contact</a></div></body>""",
+)
+
+
+def test_labeller_on_pages_written_by_hand():
+    model = blocklabel.trained()
+    right = total = 0
+    for page in BY_HAND:
+        found = [b for b in blocks(page) if b.path[:2] != (("<html",), ("<head",))]
+        truth = [b.text.startswith("~") for b in found]
+        (guess,) = blocklabel.label(model, [[blocklabel.Block(b.path, b.text.removeprefix("~"), b.linked) for b in found]])
+        right += int((guess == truth).sum())
+        total += len(found)
+    assert right / total > 0.95, (right, total)
+
+
+def test_long_pages_are_read_in_stretches(spark, monkeypatch):
+    model = blocklabel.trained(300, 5)
+    r = random.Random(8)
+    page = "<body><nav><a href='/'>Home</a></nav><article>" + "".join(f"<p>{words(r, 12)}.</p>" for _ in range(700)) + "</article><footer>end</footer>"
+    (whole,) = blocklabel.label(model, [blocks(page)])
+    odds = model.probabilities(blocklabel.Features([blocks(page)]))[:, 0]
+    assert np.allclose(model.of_long(blocks(page), 64), odds, atol=1e-5)
+    monkeypatch.setattr(blocklabel, "CELLS", 64)
+    for own in blocklabel.label(model, [blocks("<p>a</p>"), blocks(page), []])[1:2]:
+        assert (own == whole).all()
+    rows = [(1, "u", "<p>" + "long text " * 300_000, "n", 5, b"x"), (2, "u", page, None, None, None)]
+    got = blocklabel.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, n_kept binary"), model).collect()
+    assert [r["page_id"] for r in got] == [1, 2] and got[1]["n_kept"] == whole.sum()
+
+
 def test_extract(spark):
     model = blocklabel.trained(300, 5)
     article = "<article><h1>Title here</h1><p>First &lt;b&gt; words of it.</p><p>Second one.</p></article>"
     page = f"<html><body><nav><a href='/'>Home</a></nav><div class='ad'>Buy now</div>{article}<footer>&copy; 2024 us</footer></body></html>"
-    rows = [(1, "u", page), (2, None, None), (3, "u", ""), (1, "u", page)]
-    got = blocklabel.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()
-    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in got) == sorted([(1, "Title here\nFirst <b> words of it.\nSecond one.", 45), (1, "Title here\nFirst <b> words of it.\nSecond one.", 45), (2, "", 0), (3, "", 0)])
+    rows = [(1, "u", page), (2, None, None), (3, "u", ""), (1, "u", page), (None, None, page)]
+    text = "Title here\nFirst <b> words of it.\nSecond one."
+    got = blocklabel.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7), model).collect()
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got) == [(0, text, 45), (1, text, 45), (1, text, 45), (2, "", 0), (3, "", 0)]
     assert blocklabel.extract(spark.createDataFrame([], "page_id long, url string, html string"), model).count() == 0
 
 

@@ -18,9 +18,9 @@ often AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM often, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
 lines AS (SELECT doc_id, source, array_to_string(regexp_extract_all({_LOWER.format("l")}, '{_WORD}'), ' ') AS line, sum(len(regexp_extract_all(l, '{_WORD}'))) AS words FROM (SELECT doc_id, source, unnest(ls) AS l FROM w) GROUP BY ALL),
 firsts AS (SELECT source, min(doc_id) AS doc_id FROM d GROUP BY source, t),
-limits AS (SELECT source, greatest({quality.LEAST}, count(*) * {quality.SHARE}) AS most FROM firsts GROUP BY source),
+sizes AS (SELECT source, count(*) AS n FROM firsts GROUP BY source),
 counted AS (SELECT l.source, line, count(*) AS docs FROM lines l JOIN firsts f ON f.doc_id = l.doc_id GROUP BY ALL),
-frequent AS (SELECT c.source, c.line FROM counted c JOIN limits m ON m.source IS NOT DISTINCT FROM c.source WHERE c.docs > m.most),
+frequent AS (SELECT c.source, c.line FROM counted c JOIN sizes m ON m.source IS NOT DISTINCT FROM c.source WHERE c.docs > {quality.LEAST} AND c.docs * c.docs > {quality.GROWTH * quality.GROWTH} * m.n),
 removed AS (SELECT l.doc_id, sum(l.words) AS words FROM lines l JOIN frequent f ON f.line = l.line AND f.source IS NOT DISTINCT FROM l.source GROUP BY l.doc_id),
 stats AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,

@@ -3,16 +3,21 @@
 Base rules look at one text: too few words, or too many words in repeated three-word windows. The line
 rule looks across documents: normalised lines are hashed, each line's distinct documents are counted
 per host (the source), lines above the host's limit are removed, and a document that loses too much is
-rejected. Documents of one host with equal texts count once, so that copies of a clean document do not
-make its lines look like boilerplate; leaving one copy is deduplication's work.
+rejected.
 
-The limit is the larger of `LEAST` documents and `SHARE` of the host's documents. A document is depleted
-if less than `REMAINS` of its words are left.
+Which documents are distinct is a parameter. By default (`equal_texts_once`) those of one host with equal texts count
+once, so that copies of a clean document do not make its lines look like boilerplate; leaving one copy is
+deduplication's work. Otherwise every row counts.
+
+The limit is the larger of `LEAST` documents and `GROWTH` times the square root of the host's documents, so that it
+grows slowly: a line in 150 of 2,000 documents is above it, as is one in a ten-thousandth of 10**9. A document is
+depleted if less than `REMAINS` of its words are left.
 
 Defined cases: a null text has no words and fails; a null source is a host of its own; a text of any
-length counts whole; lines without a word are neither counted nor removed; repeated rows get equal
-results (rows are told apart by doc_id, which must be unique for the line rule); an empty table gives no rows; other
-columns are ignored or, by `clean`, passed on.
+length counts whole; lines without a word are neither counted nor removed; rows are judged each on its own, whatever
+their doc_id, so repeated rows get equal results and come out as often as they went in; a null doc_id is one more
+value; an empty table gives no rows; other columns are ignored or, by `clean`, passed on, but for names that start
+with two underscores.
 """
 
 from __future__ import annotations
@@ -20,18 +25,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.llm._common import batch, cut, map_batches, shingles, utf8, word_hashes
+from lamina.llm._common import batch, cut, map_batches, salted_join, shingles, utf8, word_hashes
 
 LEAST_WORDS = 50
 REPEAT_PERCENT = 50
 WINDOW = 3
 SYMBOLS = b"#*$%&|<>"
 LEAST = 20
-SHARE = 0.1
+GROWTH = 2
 REMAINS = 0.3
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -61,10 +66,11 @@ def repeated(words: list[bytes]) -> int:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """Base statistics of every text, its hash, and its distinct normalised lines with their words."""
+    """row (a number of its own), doc_id, host, text_key, the base statistics, and the distinct normalised lines of every
+    row with their words. Cut it before it is used more than once: the numbers are given anew each time."""
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
-        stats, hashes, lines, counts = [], [], [], []
+        stats, lines, counts = [], [], []
         for text in utf8(rows.column("text")):
             words = text.split()
             seen: set[bytes] = set()
@@ -79,32 +85,42 @@ def measure(docs: DataFrame) -> DataFrame:
             symbols = len(text) - len(text.translate(None, SYMBOLS))
             characters = len(b"".join(words).decode("utf-8", "replace"))
             stats.append((len(words), characters, symbols, dup, repeated(words)))
-            hashes.append(_line_hash(text))
             lines.append([*own])
             counts.append([*own.values()])
         columns = {name: pa.array(x, pa.int64()) for name, x in zip(STATS, zip(*stats, strict=True), strict=True)}
-        return batch(doc_id=rows.column("doc_id"), host=rows.column("host"), **columns, text_hash=pa.array(hashes, pa.int64()), lines=pa.array(lines, pa.list_(pa.int64())), line_words=pa.array(counts, pa.list_(pa.int64())))
-
-    schema = "doc_id long, host long, " + ", ".join(f"{x} long" for x in STATS) + ", text_hash long, lines array<long>, line_words array<long>"
-    return map_batches(docs.select("doc_id", F.xxhash64("source").alias("host"), "text"), run, schema)
+        kept = {name: rows.column(name) for name in ("doc_id", "host", "text_key")}
+        return batch(**kept, **columns, lines=pa.array(lines, pa.list_(pa.int64())), line_words=pa.array(counts, pa.list_(pa.int64())))
+
+    schema = "doc_id long, host long, text_key long, " + ", ".join(f"{x} long" for x in STATS) + ", lines array<long>, line_words array<long>"
+    rows = docs.select("doc_id", F.xxhash64("source").alias("host"), F.xxhash64("text").alias("text_key"), "text")
+    return map_batches(rows, run, schema).withColumn("row", F.monotonically_increasing_id())
+
+
+def frequent_lines(measured: DataFrame, least: int = LEAST, growth: int = GROWTH, equal_texts_once: bool = True) -> DataFrame:
+    """place (of host and line): the lines above the host's limit of distinct documents."""
+    if equal_texts_once:
+        firsts = measured.groupBy("host", "text_key").agg(F.min("row").alias("row"))
+        sizes = firsts.groupBy("host").agg(F.count("*").alias("n"))
+        once = measured.join(firsts.select("row"), "row", "left_semi")
+    else:
+        sizes, once = measured.groupBy("host").agg(F.count("*").alias("n")), measured
+    counted = once.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs"))
+    return counted.filter(F.col("docs") > least).join(sizes, "host").filter(F.col("docs") * F.col("docs") > growth * growth * F.col("n")).select(place())
 
 
-def frequent_lines(measured: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """host, line: the lines above the host's limit of distinct documents."""
-    firsts = measured.groupBy("host", "text_hash").agg(F.min("doc_id").alias("doc_id"))
-    limits = firsts.groupBy("host").agg(F.greatest(F.lit(float(least)), F.count("*") * share).alias("limit"))
-    once = measured.select("doc_id", "host", "lines").join(firsts.select("doc_id"), "doc_id", "left_semi")
-    counted = once.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs"))
-    return counted.filter(F.col("docs") > least).join(limits, "host").filter(F.col("docs") > F.col("limit")).select("host", "line")
+def place() -> Column:
+    """A line on its host, as one number."""
+    return F.xxhash64("host", "line").alias("place")
 
 
-def judge(measured: DataFrame) -> DataFrame:
-    """doc_id, the base statistics, base_failed, kept, the lines to remove (null if none) and their words."""
-    frequent = frequent_lines(measured)
-    rows = measured.select("doc_id", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("doc_id", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    removed = rows.join(frequent, ["host", "line"], "left_semi").groupBy("doc_id").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines"))
+def judge(measured: DataFrame, equal_texts_once: bool = True) -> DataFrame:
+    """The rows of `measure` without their lines, with base_failed, kept and the lines to remove (null if none)."""
+    frequent = cut(frequent_lines(measured, equal_texts_once=equal_texts_once))
+    each = measured.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
+    met = salted_join(each.select("row", "line", "words", place()), frequent, "place", "row", "left_semi")
+    removed = met.groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    out = measured.drop("lines", "line_words", "text_hash", "host").join(removed, "doc_id", "left").withColumn("base_failed", failed)
+    out = measured.drop("lines", "line_words").join(removed, "row", "left").withColumn("base_failed", failed)
     left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
     return out.withColumn("kept", ~F.col("base_failed") & (left >= REMAINS * F.col("n_words")))
 
@@ -115,9 +131,15 @@ def assess(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, in all their columns, without the lines above the limit."""
-    verdicts = judge(cut(measure(docs))).filter("kept").select(F.col("doc_id").alias("__doc"), F.col("removed_lines").alias("__lines"))
-    joined = docs.join(verdicts, F.col("doc_id") == F.col("__doc")).drop("__doc")
+    """The rows that are kept, in all their columns, without the lines above the limit.
+
+    Rows meet their verdict by doc_id, source and text, of which equal rows have one verdict.
+    """
+    verdicts = judge(cut(measure(docs))).filter("kept").select(F.coalesce("doc_id", F.lit(0)).alias("__doc"), F.col("doc_id").isNull().alias("__none"), F.col("host").alias("__host"), F.col("text_key").alias("__text"), F.col("removed_lines").alias("__lines"))
+    keys = ["__doc", "__none", "__host", "__text"]
+    once = verdicts.groupBy(*keys).agg(F.first("__lines").alias("__lines"))
+    keyed = docs.withColumns({"__doc": F.coalesce("doc_id", F.lit(0)), "__none": F.col("doc_id").isNull(), "__host": F.xxhash64("source"), "__text": F.xxhash64("text")})
+    joined = keyed.join(once, keys).select(*docs.columns, "__lines")
     names = docs.columns
     schema = T.StructType([T.StructField(f.name, T.LongType() if f.name == "n_chars" else f.dataType) for f in docs.schema.fields])
 

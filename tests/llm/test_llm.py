@@ -391,6 +391,35 @@ def test_line_rule(spark):
     assert cleaned[300]["node"] == "n" and cleaned[300]["_lines"] == [1]
 
 
+def test_repeated_rows_and_null_ids_are_judged_each_on_its_own(spark):
+    r = random.Random(14)
+    common = words(r, 40)
+    rows = [(i, words(r, 60) + "\n" + common, "en", "h") for i in range(30)]
+    rows += [rows[0]] * 4 + [(None, rows[1][1], "en", "h"), (None, words(r, 70), "en", "h"), (0, words(r, 80), "en", None), (1, words(r, 90), "en", "h")] * 2
+    docs = frame(spark, rows)
+    got = quality.assess(docs).collect()
+    assert len(got) == len(rows) and all(x["kept"] for x in got)  # 40 of 100 words go, however often a row stands
+    out = collections.Counter((x["doc_id"], x["text"]) for x in quality.clean(docs).collect())
+    assert out == collections.Counter((d, t.removesuffix("\n" + common)) for d, t, *_ in rows)
+
+
+def test_a_passage_of_a_few_hundredths_of_a_hot_host_goes(spark):
+    r = random.Random(16)
+    common = words(r, 60)
+    rows = [(i, words(r, 55) + ("\n" + common) * (i < 150), "en", "hot") for i in range(2000)] + [(5000 + i, words(r, 55) + ("\n" + common) * (i < 15), "en", "h") for i in range(100)]
+    out = by_id(quality.clean(frame(spark, rows)))
+    assert len(out) == 2100 and [d for d in sorted(out) if common in out[d]["text"]] == [5000 + i for i in range(15)]
+
+
+def test_documents_of_a_host_count_once_by_text_or_each(spark):
+    r = random.Random(15)
+    text = words(r, 60)
+    rows = [(i, text, "en", "h") for i in range(50)] + [(100 + i, words(r, 60), "en", "h") for i in range(50)]
+    measured = quality.measure(frame(spark, rows)).cache()
+    assert {x["kept"] for x in quality.judge(measured).collect()} == {True}
+    assert sum(x["kept"] for x in quality.judge(measured, equal_texts_once=False).collect()) == 50
+
+
 # op7
 
 

@@ -6,16 +6,22 @@ step places many pieces of a length. A length's step takes whole runs, splits at
 most one, and a run that is taken loses at least half of its free space, so the plan has at most
 `capacity * 3 * (log2(capacity) + 1)` rows whatever the number of documents. Pieces then take the
 planned slots by their rank within their length. Ranks come from counts by (length, bucket), so that a
-length that most pieces share is dealt over as many buckets as it needs.
+length that most pieces share is dealt over as many buckets as it needs: buckets hold the larger of `RANKED`
+pieces and the square root of the length's, so that there are as few buckets to sum up as pieces to rank in one.
+
+Ids are those of the plain library call: a special token's string in a text is its id. With `literal` such strings
+are ordinary text, as text that is not trusted needs it.
 
 Defined cases: a null or empty text is the closing id alone; a text longer than the capacity is cut,
-the last piece may be shorter; equal rows are packed each on its own; an empty table gives no rows;
-columns beyond the id and the text are ignored.
+the last piece may be shorter; equal rows are packed each on its own, and rows of one doc_id, or of none, need not be
+equal; an empty table gives no rows; columns beyond the id and the text are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -50,7 +56,7 @@ PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "patter
 _PRE_TOKEN = regex.compile(PATTERN.replace(r"\s", r"\t-\r \x85\xa0"))
 #: Characters whose normalisation is left to the tokenizer.
 _OTHER = regex.compile("[^\\x00-\u012f\u0131-\u017f]")
-#: Pieces of one length that a task ranks, on average.
+#: Pieces of one length that are ranked together, on average, at least.
 RANKED = 500
 
 
@@ -63,15 +69,19 @@ class _Encoder:
     otherwise, as for other characters, the tokenizer itself is asked.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, literal: bool = False) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
         self.cache: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         vocabulary, merges = spec["model"]["vocab"], spec["model"]["merges"]
         merges = [a + b for a, b in (x if isinstance(x, list) else x.split(" ") for x in merges)]
         self.engine = None
+        added = [] if literal else [re.escape(x["content"]) for x in spec["added_tokens"]]
+        self.special = re.compile("|".join(added) or r"(?!)")
+        if any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in spec["added_tokens"]):
+            return
         if spec["normalizer"] != NORMALIZER or spec["pre_tokenizer"] != PRE_TOKENIZER or spec["model"]["end_of_word_suffix"] != SUFFIX:
             return
         if any([x.id for x in self.tokenizer.model.tokenize(token.removesuffix(SUFFIX))] != [vocabulary[token]] for token in merges if token.endswith(SUFFIX)):
@@ -94,7 +104,7 @@ class _Encoder:
         """Packed ids of each chunk."""
         texts = [x.decode() for x in new]
         out: list[bytes] = [b""] * len(new)
-        plain = [i for i, x in enumerate(texts) if self.engine and not _OTHER.search(x)]
+        plain = [i for i, x in enumerate(texts) if self.engine and not _OTHER.search(x) and not self.special.search(x)]
         if plain:
             marked = (x + MARK if (x := texts[i].lower()).isalpha() else "".join(y + MARK for y in _PRE_TOKEN.findall(x)) for i in plain)
             ranks = np.array(self.engine.encode_ordinary(" ".join(marked)), dtype=np.int64)
@@ -132,8 +142,8 @@ def _byte_characters() -> list[str]:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> _Encoder:
-    return _Encoder(path)
+def encoder(path: str, literal: bool = False) -> _Encoder:
+    return _Encoder(path, literal)
 
 
 def _encoded(own: _Encoder, texts: list[bytes]) -> Iterator[bytes]:
@@ -149,12 +159,12 @@ def _encoded(own: _Encoder, texts: list[bytes]) -> Iterator[bytes]:
     yield from own.encode(group)
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, literal: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: every text's ids with the closing id, cut at `capacity`."""
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple[int, int, int, int, int]] = []
-        for doc, found in zip(rows.column("doc_id").to_pylist(), _encoded(encoder(path), utf8(rows.column("text"))), strict=True):
+        for doc, found in zip(rows.column("doc_id").to_pylist(), _encoded(encoder(path, literal), utf8(rows.column("text"))), strict=True):
             ids = found + CLOSING
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
@@ -215,12 +225,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(rows, dtype=np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, literal: bool = False) -> DataFrame:
     """Every piece of every text with its sequence and its offset there."""
-    all_pieces = cut(pieces(docs, path, capacity))
+    all_pieces = cut(pieces(docs, path, capacity, literal))
     counts = {r["length"]: r["n"] for r in all_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     slots = plan(counts, capacity)
-    buckets = docs.sparkSession.createDataFrame([(length, -(-n // RANKED)) for length, n in counts.items()], "length long, _buckets long")
+    buckets = docs.sparkSession.createDataFrame([(length, -(-n // max(RANKED, math.isqrt(n)))) for length, n in counts.items()], "length long, _buckets long")
     dealt = all_pieces.join(F.broadcast(buckets), "length").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_buckets"))).drop("_buckets")
     per_bucket = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,10 +3,12 @@
 A rank vocabulary becomes a sentencepiece BPE model: every token's bytes are mapped to characters one
 to one, the score of a piece is its negative rank and normalisation is the identity, so that the
 merges sentencepiece prefers are those of lowest rank, leftmost first. A text is cut into pre-tokens
-by the vocabulary's pattern, each is encoded alone, and ids are decoded through the inverse mapping.
+by the vocabulary's pattern, each is encoded alone. Ids are decoded through the model: their pieces are joined and
+the characters mapped back to bytes.
 
 Defined cases: a null or empty text has no ids; a text of any length is encoded whole; repeated rows
-and equal texts get equal results; columns beyond the id and the text are ignored.
+and equal texts get equal results, with whatever doc_id; an empty table gives no rows; columns beyond the id and the
+text are ignored.
 """
 
 from __future__ import annotations
@@ -59,6 +61,11 @@ def mapped(data: bytes) -> str:
     return data.decode("latin-1").translate(_TO_CHARACTER)
 
 
+def unmapped(text: str) -> bytes:
+    """The bytes that `mapped` makes the text of: each character's low byte, as the others have one high byte."""
+    return text.encode("utf-16-le")[::2]
+
+
 def serialise(ranks: dict[bytes, int]) -> bytes:
     """A sentencepiece BPE model whose ids are the ranks, which must run from 0 without gaps.
 
@@ -93,7 +100,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]"))
-        self.tokens = [token for token, _ in sorted(ranks.items(), key=lambda x: x[1])]
+        self.characters = self.model.id_to_piece([*range(len(ranks))])
         self.cache: dict[str, bytes] = {}
 
     def pieces(self, texts: list[str]) -> list[bytes]:
@@ -122,7 +129,7 @@ class Codec:
         return out
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        return unmapped("".join(map(self.characters.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())))
 
 
 @lru_cache(maxsize=4)

@@ -1,6 +1,7 @@
 """Operators for training data against brute force, and on odd rows."""
 
 import collections
+import fractions
 import hashlib
 import random
 import re
@@ -11,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -244,7 +246,7 @@ def test_license_scan_against_brute_force(spark):
             best = max((len(wanted & {*own[s : s + n - 5 + stride]}) / len(wanted) for s in range(0, len(own), stride)), default=0)
             if best >= 0.8:
                 brute[row["doc_id"], name] = best
-    got = {(r["doc_id"], r["license"]): r["containment"] for r in queries.op3_license_bands(spark, SMALL).collect()}
+    got = {(r["doc_id"], r["license"]): r["containment"] for r in queries.op3_license_bands(spark, SMALL).collect() if r["license"] in licenses.TEMPLATES}
     assert got == brute and got
 
 
@@ -252,9 +254,10 @@ def test_license_scan_against_brute_force(spark):
 
 
 def test_encoder_equals_the_tokenizer():
-    own, library = packing.encoder(WORDS), Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
-    assert own.engine is not None
+    own, literal, library = packing.encoder(WORDS), packing.encoder(WORDS, literal=True), Tokenizer.from_file(WORDS)
+    assert own.engine is not None and literal.engine is not None
+    assert np.frombuffer(own.encode([b"<|endoftext|> hi"])[0], "<u4").tolist() == [49407, 1883]
+    assert len(literal.encode([b"<|endoftext|> hi"])[0]) == 4 * 7
     r = random.Random(0)
     parts = ["the", " ", "\n", "Ünïts", "don't", "x2", "ſ", "İ", "漢", "é", "\x1c", "\xa0", "<|endoftext|>", "߿", "!?", "“q”", "́"]
     texts = ["", *("".join(r.choices(parts, k=r.randint(1, 12))) for _ in range(500))]
@@ -294,7 +297,6 @@ def test_plan_is_best_fit_decreasing(seed):
 
 def check_packing(texts, rows):
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     expected, sequences = [], collections.defaultdict(list)
     for doc, text in texts:
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
@@ -315,6 +317,8 @@ def check_packing(texts, rows):
 def test_pack(spark, odd, odd_rows, monkeypatch):
     monkeypatch.setattr(packing, "RANKED", 2)
     check_packing(odd_rows, packing.pack(odd, WORDS).collect())
+    tokens = [(1, "a<|endoftext|>b <|startoftext|>"), (2, "<|ENDOFTEXT|>"), (None, "x"), (None, "y y")]
+    check_packing(tokens, packing.pack(frame(spark, tokens), WORDS).collect())
     assert packing.pack(empty(spark), WORDS).count() == 0
 
 
@@ -344,6 +348,17 @@ def test_shards(spark, odd, odd_rows, limit, step, monkeypatch):
     assert sharding.assign(empty(spark), limit).count() == 0
 
 
+def test_equal_rows_split_and_every_hash_has_one_entry(spark):
+    rows = [(1, "x" * 100)] * 500 + [(i, "y" * 90) for i in range(40)]
+    docs = frame(spark, rows).repartition(3)
+    got = sharding.assign(docs, 1000).collect()
+    check_shards(got, rows, 1000)
+    assert not any(r["oversized"] for r in got)
+    hashes = docs.select(sharding.row_hash("doc_id", "text").alias("hash"), F.octet_length("text").cast("long").alias("bytes")).filter("doc_id > 1").cache()
+    entries = sharding.directory(hashes, 300).collect()
+    assert sum(fractions.Fraction(1, 2 ** r["depth"]) for r in entries) == 1 and sum(r["rows"] for r in entries) == 38
+
+
 # op6
 
 
@@ -436,6 +451,8 @@ def test_byte_bpe_equals_the_library(spark, odd, odd_rows):
     rows = by_id(bytebpe.round_trip(odd, RANKS, public_tokenizers.PATTERN))
     for doc, text in odd_rows:
         assert bytes(rows[doc]["decoded"]) == (text or "").encode()
+    assert bytebpe.unmapped(bytebpe.mapped(bytes(range(256)))) == bytes(range(256))
+    assert bytebpe.digests(empty(spark), RANKS, public_tokenizers.PATTERN).count() == 0
     digests = by_id(bytebpe.digests(odd, RANKS, public_tokenizers.PATTERN))
     assert digests[1]["n_tokens"] == 0 and digests[5]["decoded_sha256"] == hashlib.sha256(odd_rows[4][1].encode()).hexdigest()
     assert all(own.model.encode(bytebpe.mapped(token)) == [rank] for token, rank in ranks.items())

@@ -6,14 +6,17 @@ contains it. A text's distinct n-grams (a phrase that is repeated a thousand tim
 for every language at once; each count is corrected for the false positives that the fill of the
 language's bits predicts, n-grams of few languages weigh more, and the largest corrected share decides.
 
-The filters hold, for every language, the n-grams that are in most texts of its sample and that no other
-language has `RATIO` times as often. The sample is bounded: `FIT_ROWS` labelled rows, about, are picked by a hash
-of doc_id, so what is fitted does not grow with the input. Prediction covers every whole text and sees the text
-alone.
-
-Defined cases: `und` with score 0 for a null text, a text without letters, or if nothing was learned;
-rows without a lang teach nothing; equal texts get equal results; an empty table gives no rows; other
-columns are ignored. Equal shares go to the language whose name sorts first.
+The filters hold, for every language, all n-grams of its sample that no other language has `RATIO` times as often;
+`fit` can be told another ratio, or to hold the most frequent ones alone (whole frequencies, `grams` n-grams at
+most). Their effect on held-out documents is in the README. The sample is bounded: `FIT_ROWS` labelled rows, about,
+are picked by a hash of doc_id, so what is fitted does not grow with the input. Prediction covers every whole text
+and sees the text alone.
+
+Defined cases: `und` with score 0 for a null text, a text without letters, or if nothing was learned; a text with
+letters of whose n-grams no filter has any gets the language whose name sorts first, with score 0; rows without a
+lang teach nothing, nor do rows without a doc_id, which cannot be told to be no held-out ones; equal texts get
+equal results; an empty table gives no rows; other columns are ignored or, by `keep`, passed on. Equal shares go to
+the language whose name sorts first.
 """
 
 from __future__ import annotations
@@ -24,19 +27,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm._common import ALL_ROWS, batch, map_batches, mix
+from lamina.llm._common import ALL_ROWS, batch, cut, map_batches, mix
 
 #: Labelled rows to fit on, at most, but for the chance of the sampling hash.
 FIT_ROWS = 20_000
-#: n-grams held for each language, at most.
-GRAMS = 6000
 #: A language does not hold what another has this many times as often.
 RATIO = 4
-#: Rows of the table and hash positions of an n-gram.
+#: Rows of the table at least, rows for each held n-gram of a language, and hash positions of an n-gram.
 ROWS = 1 << 18
+SPACE = 16
 HASHES = 3
 #: Bytes in an n-gram.
 WIDTH = 4
@@ -87,25 +89,26 @@ def _groups(texts: list[str | None]) -> Iterator[list[str]]:
 
 @dataclass
 class Filters:
-    """The bit-sliced filters: masks of `ROWS` rows and a word for every 64 languages."""
+    """The bit-sliced filters: masks of as many rows, a power of two, and a word for every 64 languages."""
 
     languages: list[str]
     masks: np.ndarray
     false: np.ndarray
 
     @staticmethod
-    def positions(grams: np.ndarray) -> list[np.ndarray]:
+    def positions(grams: np.ndarray, rows: int) -> list[np.ndarray]:
         mixed = mix(grams.astype(np.uint64) + np.uint64(1))
-        return [((mixed >> np.uint64(20 * i)) % np.uint64(ROWS)).astype(np.int64) for i in range(HASHES)]
+        return [((mixed >> np.uint64(20 * i)) & np.uint64(rows - 1)).astype(np.int64) for i in range(HASHES)]
 
     @classmethod
     def build(cls, held: dict[str, np.ndarray]) -> Filters:
         languages = sorted(held)
-        masks = np.zeros((max(1, -(-len(languages) // 64)), ROWS), dtype=np.uint64)
+        rows = max(ROWS, 1 << (SPACE * max(map(len, held.values()), default=0) - 1).bit_length())
+        masks = np.zeros((max(1, -(-len(languages) // 64)), rows), dtype=np.uint64)
         for i, name in enumerate(languages):
-            for at in cls.positions(held[name]):
+            for at in cls.positions(held[name], rows):
                 masks[i // 64, at] |= np.uint64(1) << np.uint64(i % 64)
-        filled = [np.count_nonzero(masks[i // 64] >> np.uint64(i % 64) & np.uint64(1)) / ROWS for i in range(len(languages))]
+        filled = [np.count_nonzero(masks[i // 64] >> np.uint64(i % 64) & np.uint64(1)) / rows for i in range(len(languages))]
         if len(languages) <= 8:
             masks = masks.astype(np.uint8)
         return cls(languages, masks, np.array(filled) ** HASHES)
@@ -116,7 +119,7 @@ class Filters:
         An n-gram that m of L languages contain weighs (L - m) / (L - 1): what all contain says nothing.
         """
         grams, text = _grams(texts)
-        at = self.positions(grams)
+        at = self.positions(grams, self.masks.shape[1])
         found = [rows[at[0]] & rows[at[1]] & rows[at[2]] for rows in self.masks]
         many = len(self.languages)
         holders = np.sum([np.bitwise_count(x) for x in found], axis=0, dtype=np.int64)
@@ -130,32 +133,47 @@ class Filters:
         return total, np.maximum(0, (out - total[:, None] * self.false) / (1 - self.false))
 
 
-def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Filters:
-    """Filters from the rows of `docs` (doc_id, text, lang) that are not held out and have a lang."""
+def fit(docs: DataFrame, rows: int = FIT_ROWS, grams: int | None = None, ratio: float = RATIO) -> Filters:
+    """Filters from the rows of `docs` (doc_id, text, lang) that are not held out and have a lang.
+
+    The driver gets the totals of the languages, their frequencies of n-grams and the n-grams that are held, all of
+    them of the sample.
+    """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
     n = known.count()
-    parts = 1 << 20
+    parts = 1 << 62
     sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < min(parts, parts * rows // max(n, 1)))
 
     def run(batch_rows: pa.RecordBatch) -> pa.RecordBatch:
-        names, grams, counts = [], [], []
+        names, found_grams, counts = [], [], []
         langs = np.array(batch_rows.column("lang").to_pylist())
         for name in sorted(set(langs.tolist())):
             own = batch_rows.column("text").filter(pa.array(langs == name)).to_pylist()
             found, many = np.unique(np.concatenate([_grams(group)[0] for group in _groups(own)]), return_counts=True)
             names += [name] * len(found)
-            grams.append(found.astype(np.int64))
+            found_grams.append(found.astype(np.int64))
             counts.append(many)
-        return batch(lang=names, gram=np.concatenate(grams), n=np.concatenate(counts))
-
-    counted = map_batches(sample.select("lang", "text"), run, "lang string, gram long, n long", ALL_ROWS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    share = counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
-    typical = share.withColumn("most", F.max("share").over(Window.partitionBy("gram"))).filter(F.col("share") * RATIO > F.col("most"))
-    best = typical.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("share"), "gram"))).filter(F.col("place") <= GRAMS)
+        return batch(lang=names, gram=np.concatenate(found_grams), n=np.concatenate(counts))
+
+    counted = cut(map_batches(sample.select("lang", "text"), run, "lang string, gram long, n long", ALL_ROWS).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    spark = docs.sparkSession
+    totals = spark.createDataFrame([(r["lang"], r["total"]) for r in counted.groupBy("lang").agg(F.sum("n").alias("total")).collect()], "lang string, total long")
+    shares = counted.join(F.broadcast(totals), "lang").select("lang", "gram", "n", (F.col("n") / F.col("total")).alias("share"))  # totals has a row for each language of the sample
+    most = counted.join(F.broadcast(totals), "lang").groupBy("gram").agg(F.max(F.col("n") / F.col("total")).alias("most"))
+    typical = cut(shares.join(most, "gram").filter(F.col("share") * ratio > F.col("most")).select("lang", "gram", "n"))
+    least: dict[str, int] = {}
+    if grams is not None:
+        seen: dict[str, int] = {}
+        for r in typical.groupBy("lang", "n").agg(F.count("*").alias("many")).orderBy("lang", F.desc("n")).toLocalIterator():
+            seen[r["lang"]] = seen.get(r["lang"], 0) + r["many"]
+            if seen[r["lang"]] <= grams:
+                least[r["lang"]] = r["n"]
+        bounds = spark.createDataFrame([*least.items()], "lang string, least long")
+        typical = typical.join(F.broadcast(bounds), "lang").filter("n >= least")  # a row for each language
     held: dict[str, list[int]] = {}
-    for row in best.select("lang", "gram").toLocalIterator():
+    for row in typical.select("lang", "gram").toLocalIterator():
         held.setdefault(row["lang"], []).append(row["gram"])
-    return Filters.build({name: np.array(grams, dtype=np.uint32) for name, grams in held.items()})
+    return Filters.build({name: np.array(found, dtype=np.uint32) for name, found in held.items()})
 
 
 def _judged(filters: Filters, texts: list[str | None]) -> tuple[list[str], list[float]]:

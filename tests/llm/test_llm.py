@@ -544,12 +544,65 @@ def test_filters_against_sets():
     held = {f"l{i:02d}": np.unique(r.integers(0, 1 << 32, 500, dtype=np.uint32)) for i in range(70)}
     own = langid.Filters.build(held)
     for name, grams in held.items():
-        at = own.positions(grams)
+        at = own.positions(grams, own.masks.shape[1])
         i = own.languages.index(name)
         bits = own.masks[i // 64]
         found = bits[at[0]] & bits[at[1]] & bits[at[2]]
         assert ((found >> np.uint64(i % 64)) & np.uint64(1)).all()
     assert (own.false < 1e-4).all()
+    wide = langid.Filters.build({"a": np.arange(200_000, dtype=np.uint32)})
+    assert wide.masks.shape[1] == 1 << 22 and wide.false[0] < 0.01
+
+
+@pytest.mark.parametrize("many", [1, 3, 70])
+def test_popcounts_against_brute_force(monkeypatch, many):
+    """Counts, weights and corrections, with one filter at a time, plain integers and crowded filters."""
+    monkeypatch.setattr(langid, "ROWS", 1 << 10)
+    monkeypatch.setattr(langid, "SPACE", 1)
+    r = random.Random(11)
+    texts = ["", "Ab, c1d\n\nÉtÉ " * 3, "x", *(words(r, r.randint(1, 80)) for _ in range(25))]
+
+    def grams(text):
+        clean = re.sub(rb"[^A-Za-z\x80-\xff]+", b" ", b" " + text.lower().encode() + b" ")
+        return {int.from_bytes(clean[i : i + 4], "big") for i in range(len(clean) - 3)}
+
+    every = sorted(set().union(*map(grams, texts)))
+    held = {f"l{i:02d}": np.array(r.sample(every, 300), dtype=np.uint32) for i in range(many)}
+    own = langid.Filters.build(held)
+    rows = own.masks.shape[1]
+    place = lambda g: [int(x[0]) for x in own.positions(np.array([g], dtype=np.uint32), rows)]
+    filters = [{p for g in held[name] for p in place(int(g))} for name in sorted(held)]
+    false = [(len(f) / rows) ** 3 for f in filters]
+    total, counts = own.counts(texts)
+    for i, text in enumerate(texts):
+        there = {g: [set(place(g)) <= f for f in filters] for g in grams(text)}
+        weight = {g: (many - sum(x)) / (many - 1) if many > 1 else 1.0 for g, x in there.items()}
+        whole = sum(weight.values())
+        assert abs(total[i] - whole) < 1e-9
+        for k in range(many):
+            hits = sum(weight[g] for g, x in there.items() if x[k])
+            assert abs(counts[i, k] - max(0, (hits - whole * false[k]) / (1 - false[k]))) < 1e-9
+    assert max(false) > 0.01
+
+
+def test_what_the_filters_hold(spark):
+    rows = [(i, text, lang, "s") for i, (text, lang) in enumerate([("abcd abcd", "x"), ("abcd efgh", "x"), ("efgh ijkl", "y"), ("efgh", "y"), ("mnop", None)] * 40)]
+    docs = frame(spark, rows)
+    every = {name: {g for t, la in {(t, la) for d, t, la, _ in rows if la == name and zlib.crc32(str(d).encode()) % 4 != 2} for g in langid._grams([t])[0].tolist()} for name in "xy"}
+
+    def holds(own, name, gram):
+        at = own.positions(np.array([gram], dtype=np.uint32), own.masks.shape[1])
+        bits = own.masks[0]
+        return bool(int((bits[at[0]] & bits[at[1]] & bits[at[2]])[0]) >> own.languages.index(name) & 1)
+
+    whole = langid.fit(docs, grams=None, ratio=1e9)
+    assert all(holds(whole, name, g) for name, grams in every.items() for g in grams)
+    few = langid.fit(docs, grams=7)
+    assert all(sum(holds(few, name, g) for g in grams) <= 7 for name, grams in every.items())
+    assert {r["lang_pred"] for r in langid.predict(frame(spark, [(1, "zzzzzz")]), whole).collect()} == {"x"}
+    assert {r["score"] for r in langid.predict(frame(spark, [(1, "zzzzzz")]), whole).collect()} == {0.0}
+    same = langid.Filters.build({"b": np.arange(9, dtype=np.uint32), "a": np.arange(9, dtype=np.uint32)})
+    assert langid._judged(same, ["some words"])[0] == ["a"]
 
 
 # op10

@@ -63,26 +63,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def salted_join(many: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+def salted_join(many: DataFrame, few: DataFrame, key: str | list[str], by: str, how: str = "inner", weights: DataFrame | None = None) -> DataFrame:
     """`many` joined on `key` with `few`, which has a key once; the rows of a hot key in `many` are dealt by `by`.
 
     Rows are counted by `COUNTERS` buckets of the key's hash. A bucket with over twice a partition's share is
     dealt over as many tasks as it has shares, and the rows of `few` that are in it are copied to each. Copies
-    are few: they add as many rows as there are shares in hot buckets, for each key there. Both frames are read
-    twice, so they should be cheap or cut. `how` is inner, left or left_semi.
+    are few: they add as many rows as there are shares in hot buckets, for each key there. `weights` (key and n) tells
+    how many rows a key has, if that is cheaper than to read `many` twice. `how` is inner, left or left_semi.
     """
     session = many.sparkSession
-    bucket = F.pmod(F.xxhash64(key), F.lit(COUNTERS))
-    counts = [(r["bucket"], r["n"]) for r in many.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).collect()]  # COUNTERS rows at most
+    keys = [key] if isinstance(key, str) else key
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(COUNTERS))
+    number = F.count("*") if weights is None else F.sum("n")
+    counts = [(r["bucket"], r["n"]) for r in (many if weights is None else weights).groupBy(bucket.alias("bucket")).agg(number.alias("n")).collect()]  # COUNTERS rows at most
     share = max(LEAST_HOT, sum(n for _, n in counts) // max(1, int(session.conf.get("spark.sql.shuffle.partitions"))))
     hot = [(b, -(-n // share)) for b, n in counts if n > 2 * share]
     if not hot:
-        return many.join(few, key, how)
+        return many.join(few, keys, how)
     table = F.broadcast(session.createDataFrame(hot, "__bucket long, __salts long"))  # COUNTERS rows at most
     salts = F.coalesce("__salts", F.lit(1))
     left = many.withColumn("__bucket", bucket).join(table, "__bucket", "left").withColumn("__salt", F.pmod(F.xxhash64(by), salts)).drop("__bucket", "__salts")
     right = few.withColumn("__bucket", bucket).join(table, "__bucket", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("__bucket", "__salts")
-    return left.join(right, [key, "__salt"], how).drop("__salt")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

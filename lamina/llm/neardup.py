@@ -1,7 +1,7 @@
 """Near-duplicate documents by an inverted join of MinHash coordinates.
 
-A document's set is its distinct five-word shingles. Equal sets form a class, whose smallest doc_id is a
-node. Every node has a signature of `COORDINATES` minima. A pair of signatures that agree in at least
+A document's set is its distinct five-word shingles. Equal sets form a class, which is a node, numbered, with the
+text of its smallest doc_id. Every node has a signature of `COORDINATES` minima. A pair of signatures that agree in at least
 m coordinates (`MATCHES`) must agree in one of the `COORDINATES - m + 1` rarest of either, for any
 fixed order of the values, so a node is posted under these coordinate-value pairs alone (prefix); the
 order puts values that many nodes share last, so that what long lists would add is skipped and only
@@ -16,13 +16,18 @@ components and pairs every two nodes of different ones that have not been compar
 loose copies would miss the threshold, the shingles that no other node of such lists has are counted, and
 nodes whose other shingles are too few are not paired.
 
+What is known of a list (its smallest node, its labels, its length) is aggregated and joined back, so no list
+has to fit a task; joins on keys that may be hot (a list, the smallest node of many lists, a class, a component) are
+salted.
+
 `MATCHES` has a number for each threshold, 85 percent (op8) and 80 (the pipeline). A pair at exactly the
 threshold has fewer equal coordinates of 64 with a probability below 1e-6, and less above it.
 
 Defined cases: ASCII capitals are lowered, words end at ASCII white space; fewer than five words form
 one shingle; no words, or a null text, form an empty set, which is linked with nothing; repeated rows
-are equal sets; rows without a doc_id get component_id null and kept null; an empty table gives no rows; other
-columns are ignored.
+are equal sets, each with its own row in the result; rows that share a doc_id but not the set are documents of their
+own, each in its component; rows without a doc_id get component_id null and kept null; an empty table gives no rows;
+other columns, whatever their names, are ignored or, by `keep_first`, passed on.
 """
 
 from __future__ import annotations
@@ -32,10 +37,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm._common import ALL_ROWS, batch, cut, map_batches, mix, ship, shingles, utf8, word_hashes
+from lamina.llm._common import ALL_ROWS, batch, cut, map_batches, mix, salted_join, ship, shingles, utf8, word_hashes
 
 WIDTH = 5
 COORDINATES = 64
@@ -81,7 +86,7 @@ def signature(found: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, the 128-bit hash (k1, k2) of the set, sig (empty for an empty set)."""
+    """doc_id, text_key, n_shingles, the 128-bit hash (k1, k2) of the set, sig (empty for an empty set)."""
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
         n, first, second, sigs = [], [], [], []
@@ -92,9 +97,9 @@ def signatures(docs: DataFrame) -> DataFrame:
             first.append(int(key[0]))
             second.append(int(key[1]))
             sigs.append(signature(found) if len(found) else b"")
-        return batch(doc_id=rows.column("doc_id"), n_shingles=pa.array(n, pa.int64()), k1=pa.array(first, pa.int64()), k2=pa.array(second, pa.int64()), sig=pa.array(sigs, pa.binary()))
+        return batch(doc_id=rows.column("doc_id"), text_key=rows.column("text_key"), n_shingles=pa.array(n, pa.int64()), k1=pa.array(first, pa.int64()), k2=pa.array(second, pa.int64()), sig=pa.array(sigs, pa.binary()))
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, k1 long, k2 long, sig binary")
+    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), run, "doc_id long, text_key long, n_shingles long, k1 long, k2 long, sig binary")
 
 
 def _values(sigs: list[bytes]) -> np.ndarray:
@@ -135,6 +140,10 @@ def postings(nodes: DataFrame, shared: np.ndarray, matches: int) -> DataFrame:
     return map_batches(nodes.select("node", "sig"), run, "key long, node long", ALL_ROWS)
 
 
+def _weights(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a").agg(F.count("*").alias("n"))
+
+
 def _matching(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
     """The pairs whose signatures agree in enough coordinates."""
     left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
@@ -145,7 +154,7 @@ def _matching(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
         keep = pa.array(equal >= matches)
         return batch(a=rows.column("a").filter(keep), b=rows.column("b").filter(keep))
 
-    return map_batches(pairs.join(right, "b").join(left, "a"), run, "a long, b long")
+    return map_batches(salted_join(pairs.join(right, "b"), left, "a", "b", weights=_weights(pairs)), run, "a long, b long")
 
 
 def similar(one: np.ndarray, other: np.ndarray, percent: int = PERCENT) -> bool:
@@ -157,7 +166,7 @@ def similar(one: np.ndarray, other: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar."""
+    """The pairs, which are cut, whose full sets are similar."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
@@ -169,7 +178,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             keep.append(similar(one, shingle_set(other), percent))
         return batch(a=rows.column("a").filter(pa.array(keep)), b=rows.column("b").filter(pa.array(keep)))
 
-    return map_batches(pairs.join(right, "b").join(left, "a"), run, "a long, b long")
+    return map_batches(salted_join(pairs.join(right, "b"), left, "a", "b", weights=_weights(pairs)), run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -248,9 +257,9 @@ def _own_shingles(dense: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _crossing(lists: DataFrame, nodes: DataFrame, texts: DataFrame, shared: np.ndarray, percent: int) -> DataFrame:
     """Pairs a < b with enough matches of nodes that share a list of `lists` (key, node, label) under different labels."""
-    per_key = Window.partitionBy("key")
-    sized = lists.withColumn("_low", F.min("label").over(per_key)).withColumn("_high", F.max("label").over(per_key)).withColumn("_size", F.count("*").over(per_key))
-    mixed = cut(sized.filter("_low != _high").select("key", "node", "label", "_size"))
+    sized = lists.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("n"))
+    sized = cut(sized.filter("_low != _high").select("key", "n"))
+    mixed = cut(salted_join(lists, sized.withColumnRenamed("n", "_size"), "key", "node", weights=sized))
     dense = mixed.filter(F.col("_size") > DENSE).select("node").distinct()
     owned = _own_shingles(dense, texts)
     blocks = mixed.withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int")).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
@@ -276,38 +285,61 @@ def _crossing(lists: DataFrame, nodes: DataFrame, texts: DataFrame, shared: np.n
     return with_sig.select("key", "_one", "_two", "_own", "node", "label", "n", "common", "sig").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (doc_id is that)."""
+def _assigned(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, text_key, n_shingles of every row, with first_id and first_key: the smallest document of its component.
+
+    Both are null for rows without a doc_id; a document with an empty set is its own.
+    """
     ship(docs.sparkSession)
     sigs = cut(signatures(docs))
     full = sigs.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = cut(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")))
-    nodes = full.select(F.col("doc_id").alias("node"), "sig", F.col("n_shingles").alias("n")).join(classes.select("node"), "node", "left_semi")
+    by_set = full.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    nodes = cut(by_set.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "first", "sig", "n"))
     shared = _shared(nodes)
     posted = postings(nodes, shared, MATCHES[percent])
-    per_key = Window.partitionBy("key")
-    lists = cut(posted.withColumn("hub", F.min("node").over(per_key)).withColumn("_high", F.max("node").over(per_key)).filter("hub != _high").select("key", "node", "hub"))
+    hubs = cut(posted.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_high"), F.count("*").alias("n")).filter("hub != _high").select("key", "hub", "n"))
+    lists = cut(salted_join(posted, hubs.select("key", "hub"), "key", "node", weights=hubs.select("key", "n")))
     first = cut(lists.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    involved = lists.select("node").distinct()
-    texts = cut(docs.select(F.col("doc_id").alias("node"), "text").join(involved, "node", "left_semi"))
-    links = cut(confirm(_matching(first, nodes, MATCHES[percent]), texts, percent))
+    places = nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "first.doc_id", "first.text_key")
+    whole = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(places, ["doc_id", "text_key"])
+    texts = cut(whole.groupBy("doc_id", "text_key").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"))
+    links = cut(confirm(cut(_matching(first, nodes, MATCHES[percent])), texts, percent))
     labels = components(links)
     named = lists.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    second = _crossing(named, nodes, texts, shared, percent).join(first, ["a", "b"], "left_anti")
+    second = cut(_crossing(named, nodes, texts, shared, percent).join(first, ["a", "b"], "left_anti"))
     more = cut(confirm(second, texts, percent))
     if not more.isEmpty():
         one, other = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         joined = more.join(one, "a", "left").join(other, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        ends = components(joined).select(F.col("node").alias("end_of"), F.col("label").alias("end"))
-        everyone = labels.union(joined.select("a", "a")).union(joined.select("b", "b")).distinct()
-        labels = cut(everyone.join(ends, F.col("label") == F.col("end_of"), "left").select("node", F.coalesce("end", "label").alias("label")))
-    by_class = classes.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("_component"))
-    out = sigs.select("doc_id", "n_shingles", "k1", "k2").join(by_class, ["k1", "k2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+        ends = components(joined).select(F.col("node").alias("label"), F.col("label").alias("end"))
+        everyone = cut(labels.union(joined.select("a", "a")).union(joined.select("b", "b")).distinct())
+        labels = cut(salted_join(everyone, ends, "label", "node", "left").select("node", F.coalesce("end", "label").alias("label")))
+    named_sets = cut(nodes.join(labels, "node", "left").select("k1", "k2", "first", F.coalesce("label", "node").alias("label")))
+    firsts = named_sets.groupBy("label").agg(F.min("first").alias("_first"))
+    by_class = salted_join(named_sets.select("k1", "k2", "label"), firsts, "label", "k1").select("k1", "k2", "_first")
+    out = salted_join(sigs.select("doc_id", "text_key", "n_shingles", "k1", "k2"), by_class, ["k1", "k2"], "doc_id", "left")
+    own = F.when(F.col("n_shingles") > 0, F.col("_first")).otherwise(F.struct("doc_id", "text_key"))
+    known = F.when(F.col("doc_id").isNotNull(), own)
+    return out.select("doc_id", "text_key", "n_shingles", known["doc_id"].alias("first_id"), known["text_key"].alias("first_key"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (doc_id is that)."""
+    return _assigned(docs, percent).select("doc_id", "n_shingles", F.col("first_id").alias("component_id"), (F.col("doc_id") == F.col("first_id")).alias("kept"))
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows, in all their columns, without the documents of each component that are not its smallest doc_id."""
-    dropped = near_duplicates(docs, percent).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """The rows, in all their columns, without the documents of each component that are not its smallest doc_id.
+
+    One row of a component stays: of rows that are equal in doc_id and text one does, and of texts under its smallest
+    doc_id that with the smallest hash. Documents with an empty set stay, and rows without a doc_id stay as they are.
+    """
+    keys = ["doc_id", "__key"]
+    found = cut(_assigned(docs, percent).withColumnRenamed("text_key", "__key").filter(F.col("doc_id").isNotNull()))
+    dropped = found.filter((F.col("doc_id") != F.col("first_id")) | (F.col("__key") != F.col("first_key"))).select(keys).distinct()
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    out = keyed.join(dropped, keys, "left_anti")
+    twice = cut(found.groupBy(keys).agg(F.count("*").alias("n")).filter("n > 1").select(keys))
+    if not twice.isEmpty():
+        out = out.join(twice, keys, "left_anti").unionByName(out.join(twice, keys, "left_semi").dropDuplicates(keys))
+    return out.select(*docs.columns)

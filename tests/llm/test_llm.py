@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from lamina.llm import _common as common
 from lamina.llm import blocklabel, bytebpe, langid, licenses, neardup, packing, quality, queries, secrets, sharding, spotsigs
 from lamina.llm.htmlblocks import blocks
 
@@ -515,6 +516,35 @@ def test_near_duplicates_with_dense_groups_and_chains(spark, monkeypatch, block,
     assert got == components_by_brute_force(rows)
 
 
+def test_rows_of_one_doc_id(spark):
+    """Equal rows, other texts under one doc_id, no doc_id: every row has its own set, and a component keeps one row."""
+    r = random.Random(19)
+    one, other = words(r, 60), words(r, 60)
+    rows = [(1, one), (1, one), (1, other), (2, other), (3, one.upper()), (3, one), (None, one), (None, one), (4, None), (4, None), (5, "a b"), (5, "A b")]
+    got = collections.Counter((x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in neardup.near_duplicates(frame(spark, rows)).collect())
+    assert got == collections.Counter({(1, 56, 1, True): 3, (2, 56, 1, False): 1, (3, 56, 1, False): 2, (None, 56, None, None): 2, (4, 0, 4, True): 2, (5, 1, 5, True): 2})
+    kept = collections.Counter((x["doc_id"], x["text"] and x["text"].lower()) for x in neardup.keep_first(frame(spark, rows)).collect())
+    assert kept == collections.Counter({(1, one): 1, (1, other): 1, (None, one): 2, (4, None): 1, (5, "a b"): 1})
+
+
+def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
+    """One large group of copies, one of near copies and one of loose ones, with salts in every join."""
+    monkeypatch.setattr("lamina.llm._common.LEAST_HOT", 3)
+    monkeypatch.setattr(neardup, "DENSE", 5)
+    r = random.Random(20)
+    base, passage = words(r, 80).split(), words(r, 45)
+    rows = [(i, " ".join(base)) for i in range(60)]
+    rows += [(100 + i, " ".join([*base[:i], "changed", *base[i + 1 :]])) for i in range(60)]
+    rows += [(200 + i, passage + " " + words(r, r.randint(3, 30))) for i in range(40)] + [(300 + i, words(r, 30)) for i in range(30)]
+    r.shuffle(rows)
+    got = {d: (x["n_shingles"], x["component_id"]) for d, x in by_id(neardup.near_duplicates(frame(spark, rows))).items()}
+    assert got == components_by_brute_force(rows)
+    many = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0), (None, 7)], "k long, v long")
+    few = spark.createDataFrame([(1, "a"), (3, "c")], "k long, x string")
+    assert sorted((x["v"], x["x"]) for x in common.salted_join(many, few, "k", "v").collect()) == [(i, "a") for i in range(50)]
+    assert common.salted_join(many, few, "k", "v", "left").filter("x IS NULL").count() == 2 and common.salted_join(many, few, ["k"], "v", "left_semi").columns == ["k", "v"]
+
+
 def test_keep_first_keeps_columns(spark, odd):
     kept = neardup.keep_first(odd)
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 4, 5, 9, 10, 11, 13}

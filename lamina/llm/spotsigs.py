@@ -11,15 +11,21 @@ an anchor; the rule is local, so an edit changes signatures near it alone. A tex
 of the whole text. An empty text has the empty fingerprint; two empty fingerprints have likeness 1, an
 empty and another 0.
 
+`compare` returns the exact coefficient of each text with its edited form and with the next text, which are two
+comparisons a row; the search by partitions and prefixes is `near_pairs`.
+
 Defined cases: a null text is empty; texts of any length count whole; repeated rows have equal
-fingerprints; rows are ordered by doc_id, nulls first, then by text; an empty table gives no rows; other columns are
-ignored.
+fingerprints and follow each other; rows are ordered by doc_id, nulls first, then by a hash of the text, so that very
+many rows of one doc_id, or of none, are parted as well; an empty table gives no rows; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -32,8 +38,11 @@ from lamina.llm._common import batch, cut, map_batches, mix, ship, word_hashes
 
 CHAIN = 3
 SPARSE = 12
-#: Rows of a task when documents are put in order, on average.
+#: Rows of a part when documents are put in order, on average, and parts at most; larger tables have larger parts.
 ORDERED = 8_000
+PARTS = 1 << 15
+#: Counters of how many sets have a signature, whatever the input.
+SKETCH = 1 << 16
 #: Common words that may start a chain.
 ANCHORS = (
     "a an and are be by for from had has he in is it of on that the this to was with "
@@ -97,32 +106,58 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - many] + following[:many]
 
 
+@dataclass
+class _Parts:
+    """Which part a row of (id, hash) falls in: by bounds of ids, and where one id fills several parts, by its hash."""
+
+    bounds: np.ndarray
+    shares: np.ndarray
+    before: np.ndarray
+
+    @classmethod
+    def of(cls, quantiles: list[int]) -> _Parts:
+        """An id that is several quantiles gets a range of its own, of as many parts as it has quantiles, and one."""
+        many = Counter(quantiles)
+        bounds = np.array(sorted({*many, *(x + 1 for x, n in many.items() if n > 1)}), dtype=np.int64)
+        shares = np.ones(len(bounds) + 1, dtype=np.int64)
+        for x, n in many.items():
+            if n > 1:
+                shares[np.searchsorted(bounds, x, side="right")] = n + 1
+        return cls(bounds, shares, np.concatenate(([0], np.cumsum(shares))))
+
+    def part(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.bounds, ids, side="right")
+        place = (hashes.astype(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)  # in the order of the signed hash
+        return self.before[at] + (place.astype(np.int64) * self.shares[at] >> 32)
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """doc_id, text, _part, _extra: parts of rows in the order of doc_id, each followed by the rows that the
     next part (after the last, the first) begins with, marked as extra. Rows of a part are together and sorted.
 
-    The driver holds the bounds and the first doc_id of each part, one for about `ORDERED` rows.
+    The driver holds a bound and the first row's doc_id and hash for each part, of which there are about `PARTS` at most.
     """
     low = -(1 << 63)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(low)).alias("_id"))
-    parts = max(1, -(-rows.count() // ORDERED))
-    bounds = np.array(sorted({int(x) for x in rows.approxQuantile("_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else [], dtype=np.int64)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(low)).alias("_id")).withColumn("_hash", F.xxhash64("text"))
+    parts = min(PARTS, max(1, -(-rows.count() // ORDERED)))
+    quantiles = [int(x) for x in rows.approxQuantile("_id", [i / parts for i in range(1, parts)], 0.2 / parts)] if parts > 1 else []
+    own = _Parts.of([min(x, (1 << 63) - 2) for x in quantiles])
 
     @F.pandas_udf("int")
-    def part(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right"))
+    def part(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(own.part(ids.to_numpy(), hashes.to_numpy()))
 
-    firsts = sorted((r["part"], r["first"]) for r in rows.select("_id").groupBy(part("_id").alias("part")).agg(F.min("_id").alias("first")).collect())
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
+    firsts = sorted((r["part"], r["first"]["_id"], r["first"]["_hash"]) for r in rows.select("_id", "_hash").groupBy(part("_id", "_hash").alias("part")).agg(F.min(F.struct("_id", "_hash")).alias("first")).collect())
+    before = {first: firsts[i - 1][0] for i, (_, *first) in enumerate(firsts) for first in [tuple(first)]}
 
     @F.pandas_udf("array<int>")
-    def places(ids: pd.Series) -> pd.Series:
+    def places(ids: pd.Series, hashes: pd.Series) -> pd.Series:
         """Twice the part, and for a first row also twice the part before it and one."""
-        own = np.searchsorted(bounds, ids.to_numpy(), side="right").tolist()
-        return pd.Series([[2 * p, 2 * before[x] + 1] if x in before else [2 * p] for p, x in zip(own, ids.tolist(), strict=True)])
+        at = own.part(ids.to_numpy(), hashes.to_numpy()).tolist()
+        return pd.Series([[2 * p, 2 * before[x] + 1] if x in before else [2 * p] for p, x in zip(at, zip(ids.tolist(), hashes.tolist(), strict=True), strict=True)])
 
-    dealt = rows.withColumn("_to", F.explode(places("_id"))).select("doc_id", "text", "_id", F.shiftright("_to", 1).alias("_part"), (F.col("_to") % 2).alias("_extra"))
-    return dealt.repartitionById(len(bounds) + 1, F.col("_part")).sortWithinPartitions("_part", "_extra", "_id", "text").select("doc_id", "text", "_part", "_extra")
+    dealt = rows.withColumn("_to", F.explode(places("_id", "_hash"))).select("doc_id", "text", "_id", "_hash", F.shiftright("_to", 1).alias("_part"), (F.col("_to") % 2).alias("_extra"))
+    return dealt.repartitionById(int(own.before[-1]), F.col("_part")).sortWithinPartitions("_part", "_extra", "_id", "_hash", "text").select("doc_id", "text", "_part", "_extra")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str, str]]:
@@ -181,19 +216,30 @@ def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
     Lengths fall into partitions whose bounds grow by the factor 1 / least, so that the partner of a set
     is in its own or a neighbouring partition. Within two such partitions, sets are joined on the
-    signatures of a prefix (the rarest by value order) that near sets must share. Join the result to
-    `fingerprints` on the fingerprint for the copies of each representative.
+    signatures of a prefix that near sets must share, in one order for all: rare signatures first, by a sketch of how
+    many sets have them, so that what very many share is not posted. Join the result to
+    `fingerprints` on the fingerprint for the copies of each representative. Empty texts and rows without a doc_id take
+    no part. All pairs of a group of like texts are returned, so their number grows with its square.
     """
-    own = cut(fingerprints(docs).filter("n_signatures > 0"))
+    own = cut(fingerprints(docs.filter(F.col("doc_id").isNotNull())).filter("n_signatures > 0"))
     firsts = own.groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.first("n_signatures").alias("n"))
     step = float(np.log(1 / least))
     sized = firsts.withColumn("_class", F.floor(F.log(F.col("n")) / step).cast("int"))
 
+    def sketched(rows: pa.RecordBatch) -> pa.RecordBatch:
+        found = [parse(x) for x in rows.column("fingerprint").to_pylist()]
+        counts = np.bincount(np.concatenate(found) % SKETCH, minlength=SKETCH)
+        return batch(counter=np.flatnonzero(counts), n=counts[np.flatnonzero(counts)])
+
+    common = np.zeros(SKETCH, dtype=np.int64)
+    for r in map_batches(sized.select("fingerprint"), sketched, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toLocalIterator():  # SKETCH rows at most
+        common[r["counter"]] = r["n"]
+
     def posted(rows: pa.RecordBatch) -> pa.RecordBatch:
         ids, keys, ns, classes = [], [], [], []
         for doc, text, n, kind in zip(*(rows.column(i).to_pylist() for i in range(4)), strict=True):
             found = parse(text)
-            prefix = found[: n - int(np.ceil(least * n - 1e-9)) + 1]
+            prefix = found[np.lexsort((found, common[found % SKETCH]))][: n - int(np.ceil(least * n - 1e-9)) + 1]
             ids += [doc] * len(prefix)
             keys += prefix.tolist()
             ns += [n] * len(prefix)

@@ -193,11 +193,64 @@ def test_neighbours(spark, odd_rows, monkeypatch, size):
     assert len(got) == len(rows)
 
 
+def chains(text):
+    """The signatures as word tuples, straight from the definition."""
+    own = [x for x in re.split(r"[^a-z0-9\x80-\U0010ffff]+", text.lower()) if x]
+    out = set()
+    for i, word in enumerate(own):
+        sparse = not any(x in spotsigs.ANCHORS for x in own[max(0, i - 12) : i + 13])
+        content = [x for x in own[i + 1 :] if x not in spotsigs.ANCHORS][:3]
+        if (word in spotsigs.ANCHORS or sparse) and content:
+            out.add((word, *content))
+    return out or ({text} if text else set())
+
+
+def jaccard(one, other):
+    return len(one & other) / len(one | other) if one | other else 1.0
+
+
+def test_compare_against_chains_of_words(spark):
+    """Sets of word tuples give the same likeness, and texts have equal fingerprints where these sets are equal."""
+    r = random.Random(12)
+    common = ["the", "of", "und", "la", "The", "OF,"]
+    texts = [" ".join(r.choice(common) if r.random() < share else words(r, 1, "abc") for _ in range(r.randint(1, 60))) for share in (0, 0.02, 0.3, 0.9) for _ in range(20)]
+    texts += [None, "", " .,", "x", "x", "the", "the end", "ÉTÉ the Été naïve", texts[45].upper(), texts[45].replace(" ", "  "), "the " * 30, "w " * 40, "a1 " * 20 + "the b2 " * 20 + "c3 " * 30]
+    texts.append("one the two " * 500 + words(r, 800))
+    rows = [*enumerate(texts)]
+    got = by_id(spotsigs.compare(frame(spark, rows)))
+    sets = [chains(x or "") for x in texts]
+    for i, text in enumerate(texts):
+        text, following = text or "", texts[(i + 1) % len(texts)] or ""
+        many = len(text) // 4
+        assert abs(got[i]["near_edited"] - jaccard(sets[i], chains(text[: len(text) - many] + following[:many]))) < 1e-12, i
+        assert abs(got[i]["near_next"] - jaccard(sets[i], sets[(i + 1) % len(texts)])) < 1e-12, i
+        assert len(got[i]["fingerprint"]) == 8 * len(sets[i])
+    for i, one in enumerate(sets):
+        assert [got[i]["fingerprint"] == got[k]["fingerprint"] for k in range(len(sets))] == [one == other for other in sets]
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_very_many_rows_of_one_doc_id_are_parted(spark, monkeypatch, parts):
+    monkeypatch.setattr(spotsigs, "ORDERED", 5)
+    monkeypatch.setattr(spotsigs, "PARTS", parts)
+    r = random.Random(13)
+    rows = [(None, words(r, 9)) for _ in range(60)] + [(7, words(r, 9)) for _ in range(60)] + [(7, "same words of it")] * 9 + [(i, words(r, 9)) for i in range(40)] + [((1 << 63) - 1, words(r, 9))] * 3
+    got = spotsigs.compare(frame(spark, rows).repartition(4)).collect()
+    following = collections.Counter((x["doc_id"], x["edited_sha256"]) for x in got)
+    keyed = frame(spark, rows).select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    order = sorted(((x["doc_id"] if x["doc_id"] is not None else -(1 << 63), x["h"], x["text"]), x["doc_id"]) for x in keyed)
+    edited = [(d, hashlib.sha256((k[2][: len(k[2]) - len(k[2]) // 4] + order[(i + 1) % len(order)][0][2][: len(k[2]) // 4]).encode()).hexdigest()) for i, (k, d) in enumerate(order)]
+    assert following == collections.Counter(edited)
+    sizes = spotsigs.in_order(frame(spark, rows)).filter("_extra = 0").groupBy("_part").count().collect()
+    assert parts < 40 or max(x["count"] for x in sizes) < 40
+
+
 def test_repeated_rows_and_no_rows_have_neighbours(spark):
     assert spotsigs.compare(empty(spark)).count() == 0
     assert spotsigs.compare(frame(spark, [(1, "a b"), (1, "a b"), (None, "c"), (2, None)])).count() == 4
     alone = spotsigs.compare(frame(spark, [(1, "the one alone here")])).first()
     assert alone["near_next"] == 1.0
+    assert spotsigs.near_pairs(empty(spark)).count() == 0 and spotsigs.near_pairs(frame(spark, [(1, "the a b"), (1, "the a b"), (None, "the a b"), (2, None)])).count() == 0
 
 
 def test_near_pairs(spark):

@@ -1,7 +1,8 @@
 """Near-duplicate documents by an inverted join of MinHash coordinates.
 
-A document's set is its distinct five-word shingles. Equal sets form a class, which is a node, numbered, with the
-text of its smallest doc_id. Every node has a signature of `COORDINATES` minima. A pair of signatures that agree in at least
+A document's set is its distinct five-word shingles. Equal sets form a class, which is a node with the number and the
+text of its smallest doc_id (where texts share a doc_id, all nodes are numbered anew). Copies tend to be younger than
+what they were made from, so that node is like more others than one picked at random. Every node has a signature of `COORDINATES` minima. A pair of signatures that agree in at least
 m coordinates (`MATCHES`) must agree in one of the `COORDINATES - m + 1` rarest of either, for any
 fixed order of the values, so a node is posted under these coordinate-value pairs alone (prefix); the
 order puts values that many nodes share last, so that what long lists would add is skipped and only
@@ -294,7 +295,9 @@ def _assigned(docs: DataFrame, percent: int) -> DataFrame:
     sigs = cut(signatures(docs))
     full = sigs.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     by_set = full.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
-    nodes = cut(by_set.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "first", "sig", "n"))
+    classes = cut(by_set.select(F.monotonically_increasing_id().alias("number"), "k1", "k2", "first", "sig", "n"))
+    unique = classes.groupBy("first.doc_id").count().filter("count > 1").isEmpty()
+    nodes = classes.withColumn("node", F.col("first.doc_id") if unique else F.col("number"))
     shared = _shared(nodes)
     posted = postings(nodes, shared, MATCHES[percent])
     hubs = cut(posted.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_high"), F.count("*").alias("n")).filter("hub != _high").select("key", "hub", "n"))

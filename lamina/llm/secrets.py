@@ -127,6 +127,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     else:
         seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("_seen"))
         todo = once.join(seen, "blob", "left").withColumn("rules", F.array_except(keys, F.coalesce("_seen", F.array().cast("array<string>")))).filter(F.size("rules") > 0)
+    todo = todo.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
     parts = [F.when(F.array_contains("rules", rule.key), spans(F.col("text"), rule, place)).otherwise(F.array().cast(SPAN)) for place, rule in enumerate(rules)]
     return todo.select("blob", "rules", F.when(F.col("text").isNotNull(), F.array_sort(F.concat(*parts))).otherwise(F.array().cast(SPAN)).alias("spans"))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,24 +49,42 @@ def skip_for_range(files: DataFrame, start: object, end: object) -> DataFrame:
     return files.withColumn("skipped", (F.col("max_key") < F.lit(start)) | (F.col("min_key") >= F.lit(end)))
 
 
-def locate(keys: DataFrame, files: DataFrame, key: str = "key") -> DataFrame:
+#: Bounds that go with the tasks, at most.
+BOUNDS = 50_000
+
+
+def locate(keys: DataFrame, files: DataFrame, key: str = "key", most: int = BOUNDS) -> DataFrame:
     """Each key with the file of a disjoint set that may hold it; keys between files have none.
 
-    The file list is metadata that the commit log keeps on the driver, so its sorted bounds go with the
-    tasks and each key is found by binary search: no join, no shuffle, no pairs of keys and files.
+    A key's file is the last that starts at or before it, if it ends there or later. The first keys of every n-th
+    file, `most` of them at most, go with the tasks and deal keys and files into ranges; where that is every file, each
+    range has one, else a window over a range's keys and files finds it. So no key meets more than the files of a range.
     """
-    bounds = sorted((r["min_key"], r["max_key"], r["file"]) for r in files.select("min_key", "max_key", "file").collect())
-    starts = [low for low, _, _ in bounds]
-
-    @F.pandas_udf("string")
-    def file_of(column: pd.Series) -> pd.Series:
-        out = []
-        for value in column:
-            at = -1 if value is None else bisect_right(starts, value) - 1
-            out.append(bounds[at][2] if at >= 0 and value <= bounds[at][1] else None)
-        return pd.Series(out, dtype=object)
-
-    return keys.withColumn("file", file_of(key))
+    many = files.count()
+    every = max(1, -(-many // most))
+    starts = [r["min_key"] for i, r in enumerate(files.select("min_key").orderBy("min_key").toLocalIterator()) if i % every == 0]
+    bounds = np.array(starts, dtype=object)
+
+    @F.pandas_udf("int")
+    def range_of(column: pd.Series) -> pd.Series:
+        """The last bound at or before each value, -1 before all."""
+        there = column.notna().to_numpy()
+        out = np.full(len(column), -1)
+        out[there] = np.searchsorted(bounds, column[there].to_numpy(dtype=object), side="right") - 1
+        return pd.Series(out)
+
+    dealt = keys.withColumn("_range", range_of(key))
+    own = files.select("min_key", F.col("max_key").alias("_max"), F.col("file"), range_of("min_key").alias("_range"))
+    if every == 1:
+        found = dealt.join(own.drop("min_key"), "_range", "left")
+    else:
+        names = keys.columns
+        rows = dealt.select("_range", F.col(key).alias("_at"), F.lit(1).alias("_kind"), F.struct(*names).alias("_row"), F.lit(None).alias("_max"), F.lit(None).cast("string").alias("file"))
+        marks = own.select("_range", F.col("min_key").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).alias("_row"), "_max", "file")
+        order = Window.partitionBy("_range").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+        last = F.last(F.when(F.col("_kind") == 0, F.struct("_max", "file")), ignorenulls=True).over(order)
+        found = marks.unionByName(rows).withColumn("_last", last).filter("_kind = 1").select("_row.*", F.col("_last._max").alias("_max"), F.col("_last.file").alias("file"))
+    return found.select(*keys.columns, F.when(F.col(key) <= F.col("_max"), F.col("file")).alias("file"))
 
 
 def live_set(edits: DataFrame, order: Sequence[str] = ("version", "ordinal")) -> DataFrame:

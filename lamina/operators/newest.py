@@ -16,19 +16,23 @@ from lamina.schema import DELETE, PUT
 def newest_wins(df: DataFrame, keys: Sequence[str] = ("key",), order: Sequence[Column | str] = ("seq",)) -> DataFrame:
     """One row for each key: the one whose `order` is largest. Partial aggregation runs before the shuffle.
 
-    All columns of `df` are carried through it, so select those that are needed first.
+    Of rows with equal orders the one with the largest other columns wins, from left to right, so the result does not
+    hang on chance; a null is smaller than any value. All columns of `df` are carried through the aggregate, so select
+    those that are needed first; they must have an order, which maps have not.
     """
-    one = order[0] if len(order) == 1 and isinstance(order[0], str) else None
-    carried = [c for c in df.columns if c not in keys and c != one]
-    by = F.col(one) if one else F.struct(*[F.col(x) if isinstance(x, str) else x for x in order])
-    newest = F.max_by(F.struct(*carried), by).alias("_row") if carried else F.max(by).alias("_row")
-    found = df.groupBy(*keys).agg(newest, *([F.max(one).alias(one)] if one else []))
-    fields = {c: F.col(f"_row.{c}").alias(c) for c in carried}
-    return found.select(*keys, *[fields.get(c, F.col(c)) for c in df.columns if c not in keys])
+    names = {x for x in order if isinstance(x, str)}
+    carried = [c for c in df.columns if c not in keys and c not in names]
+    fields = [(F.col(x) if isinstance(x, str) else x).alias(f"_{i}") for i, x in enumerate(order)]
+    newest = F.max(F.struct(*fields, *[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)])).alias("_row")
+    place = {x: f"_row._{i}" for i, x in enumerate(order) if isinstance(x, str)} | {c: f"_row.c{i}" for i, c in enumerate(carried)}
+    return df.groupBy(*keys).agg(newest).select(*keys, *[F.col(place[c]).alias(c) for c in df.columns if c not in keys])
 
 
 def newest_wins_wide(df: DataFrame, keys: Sequence[str] = ("key",), order: Sequence[str] = ("seq",)) -> DataFrame:
-    """As `newest_wins`, as a rank of one: for rows with many columns, whose groups are limited before the shuffle."""
+    """As `newest_wins`, as a rank of one: for rows with many columns, whose groups are limited before the shuffle.
+
+    Of rows with equal orders any one wins.
+    """
     rank = Window.partitionBy(*keys).orderBy(*[F.col(x).desc() for x in order])
     return df.withColumn("_rank", F.row_number().over(rank)).filter("_rank = 1").drop("_rank")
 

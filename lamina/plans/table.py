@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
@@ -21,6 +22,8 @@ from lamina.plans.compaction import Compaction
 from lamina.plans.log import Action, CommitLog, Snapshot
 from lamina.schema import ADDED, MUTATION, REMOVED, ConflictError, HousekeepingError, InvalidMutationError
 
+#: Footers that are read at once.
+FOOTERS = 16
 #: Mutations of a version are ordered below it: seq = version << ORDINAL_BITS | ordinal.
 ORDINAL_BITS = 36
 
@@ -29,12 +32,13 @@ ORDINAL_BITS = 36
 class Options:
     """flush_bytes: what a batch's file holds, about; l0_threshold: batches beyond which level 0 is compacted;
     l1_ratio: level 1 is rewritten beyond so many times flush_bytes; file_bytes: of a compacted file;
-    auto_compact: compact after each write if a threshold is passed."""
+    file_rows: of any file at most, 0 for no limit; auto_compact: compact after each write if a threshold is passed."""
 
     flush_bytes: int = 128 << 20
     l0_threshold: int = 4
     l1_ratio: int = 10
     file_bytes: int = 512 << 20
+    file_rows: int = 0
     auto_compact: bool = True
 
 
@@ -118,16 +122,35 @@ class KVTable:
     def _write(self, rows: DataFrame, folder: str, file_bytes: int) -> None:
         """Sorted files, with statistics and a Bloom filter on the key, of rows that are dealt by ranges of keys."""
         writer = rows.sortWithinPartitions("key", F.desc("seq")).write.mode("errorifexists")
-        writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.enable.dictionary#key", "false").option("parquet.block.size", min(file_bytes, 128 << 20))
+        writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.enable.dictionary#key", "false")
+        writer = writer.option("parquet.block.size", min(file_bytes, 128 << 20)).option("maxRecordsPerFile", self.options.file_rows)
         writer.parquet(f"{self.root}/{folder}")
 
     def _stats(self, folder: str, level: int) -> list[Action]:
-        """The additions for the files of a folder; one row for each file comes to the driver."""
-        rows = self.spark.read.schema(MUTATION).parquet(f"{self.root}/{folder}")
-        per_file = rows.groupBy(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("bytes")).agg(F.hex(F.min("key")).alias("low"), F.hex(F.max("key")).alias("high"), F.count("*").alias("n"))
-        out = [Action(ADDED, f"{folder}/{r['name']}", level, r["low"], r["high"], r["n"], r["bytes"]) for r in per_file.collect()]
+        """The additions for the files of a folder, from their footers alone; files without rows are left out."""
+        new_path, fs = self.log._new_path, self.log._fs
+        found = [(x.getPath(), x.getLen()) for x in fs.listStatus(new_path(f"{self.root}/{folder}")) if x.getPath().getName().endswith(".parquet")]
+        with ThreadPoolExecutor(FOOTERS) as pool:
+            footers = [*pool.map(self._footer, [path for path, _ in found])]
+        out = [Action(ADDED, f"{folder}/{path.getName()}", level, *own, size) for (path, size), own in zip(found, footers, strict=True) if own[2]]
         return sorted(out, key=lambda a: a.file)
 
+    def _footer(self, path: object) -> tuple[str, str, int]:
+        """Smallest and largest key, as in the log, and the number of rows of a file."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, conf))
+        try:
+            blocks = list(reader.getFooter().getBlocks())
+        finally:
+            reader.close()
+        rows = sum(b.getRowCount() for b in blocks)
+        stats = [c.getStatistics() for b in blocks for c in b.getColumns() if c.getPath().toDotString() == "key"]
+        if rows and not all(x.hasNonNullValue() for x in stats):  # keys above some kilobytes have none
+            own = self.spark.read.schema(MUTATION).parquet(path.toString()).agg(F.hex(F.min("key")).alias("low"), F.hex(F.max("key")).alias("high")).first()
+            return own["low"], own["high"], rows
+        lows, highs = [bytes(x.getMinBytes()).hex().upper() for x in stats], [bytes(x.getMaxBytes()).hex().upper() for x in stats]
+        return min(lows, default=""), max(highs, default=""), rows
+
     # Reading
 
     def mutations(self, version: int | None = None, start: bytes | None = None, end: bytes | None = None, files: list[Action] | None = None) -> DataFrame:
@@ -195,7 +218,7 @@ class KVTable:
             folder = f"data/{uuid.uuid4().hex}"
             files = max(1, -(-sum(f.bytes for f in chosen.inputs) // self.options.file_bytes))
             self._write(merged.select("key", "value", "op", "seq").repartitionByRange(files, "key"), folder, self.options.file_bytes)
-            added = [a for a in self._stats(folder, chosen.level) if a.entries]
+            added = self._stats(folder, chosen.level)
             try:
                 self.log.commit(snapshot.version + 1, [*added, *(Action(REMOVED, f.file, f.level) for f in chosen.inputs)])
                 return True
@@ -205,10 +228,12 @@ class KVTable:
     def vacuum(self, keep_versions: int = 0) -> list[str]:
         """Deletes data files that no version of the last `keep_versions` and the latest one uses; returns their names.
 
-        Readers of older versions must be done. Run it while no writer is between its files and its commit.
+        The log's files of older versions go as well, so that opening the table lists few. Readers of older versions
+        must be done. Run it while no writer is between its files and its commit.
         """
         last = self.log.snapshot().version
-        used = {f for v in range(max(0, last - keep_versions), last + 1) for f in self.log.snapshot(v).files}
+        first = self.log.prune(max(0, last - keep_versions))
+        used = {f for v in range(max(first, last - keep_versions), last + 1) for f in self.log.snapshot(v).files}
         fs, new_path = self.log._fs, self.log._new_path
         top = new_path(f"{self.root}/data")
         dropped = []

@@ -2,11 +2,15 @@
 
 `events` is read as a log of mutations: the key is user and hour, an `error` deletes, `event_id` orders.
 `orders` is another: the key is the customer, status `P` deletes. Sources are simulated by generations of
-`WIDTH` event ids, of which the last is the newest.
+`WIDTH` event ids, of which the last is the newest. The queries `kv_*` write the log into a table of their own, in
+four batches by age, and read it back; those named for byte formats encode it into files' contents and decode these.
 """
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,9 +19,13 @@ from pyspark.sql import functions as F
 
 from lamina.functions import scalar
 from lamina.operators import files, newest, read
+from lamina.plans.table import ORDINAL_BITS, KVTable, Options
 from lamina.schema import DELETE, PUT
+from lamina.sources import binary
 
 WIDTH = 2500
+#: Bytes at which a generation is written out.
+FLUSH_BYTES = 60_000
 START, END = "000010:00", "000060:00"
 
 LOG = """log AS (SELECT lpad(CAST(user_id AS VARCHAR), 6, '0') || ':' || lpad(CAST(hour(ts) AS VARCHAR), 2, '0') AS key,
@@ -89,14 +97,15 @@ def get_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def get_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first key that is deleted at the end."""
     log = event_log(spark, sf_dir)
-    state = newest.newest_wins(log)
-    return state.select("key", newest.lookup_state(F.col("op")).alias("state")).filter("state = 'deleted'")
+    asked = newest.newest_wins(log).filter(F.col("op") == DELETE).agg(F.min("key").alias("key"))
+    return read.multi_get(log, asked).select("key", "state")
 
 
 def multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = event_log(spark, sf_dir)
-    asked = log.filter(F.col("seq") % 7 == 0).select("key").union(log.filter(F.col("seq") % 11 == 0).select(F.concat("key", F.lit("x"))))
+    asked = log.select("key").union(log.select(F.concat("key", F.lit("x"))))
     return read.multi_get(log, asked)
 
 
@@ -204,13 +213,13 @@ def file_skip_for_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse_index_every_64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = newest.newest_wins(event_log(spark, sf_dir).withColumn("file", F.col("seq") % 4), keys=("file", "key"))
+    log = newest.newest_wins(_with_gen(event_log(spark, sf_dir)).withColumnRenamed("gen", "file"), keys=("file", "key"))
     return files.sparse_index(log).select("file", "key", F.col("place").cast("long").alias("place"))
 
 
 def sparse_index_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every key, the last indexed key at or before it."""
-    log = newest.newest_wins(event_log(spark, sf_dir).withColumn("file", F.col("seq") % 4), keys=("file", "key"))
+    log = newest.newest_wins(_with_gen(event_log(spark, sf_dir)).withColumnRenamed("gen", "file"), keys=("file", "key"))
     order = Window.partitionBy("file").orderBy("key")
     place = F.row_number().over(order) - 1
     indexed = log.withColumn("place", place).withColumn("mark", F.when(F.col("place") % 64 == 0, F.col("key")))
@@ -224,8 +233,17 @@ def bloom_sizing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flush_trigger_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _with_gen(event_log(spark, sf_dir)).groupBy("gen").agg(F.sum(F.octet_length("key")).alias("key_bytes"))
-    return log.select("gen", "key_bytes", (F.col("key_bytes") >= 20_000).alias("flush"))
+    """Which generations hold enough bytes of keys and values to be written out."""
+    log = event_log(spark, sf_dir).join(_table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "props"), "seq")
+    sized = _with_gen(log).groupBy("gen").agg(F.sum(scalar.entry_bytes("key", "props")).alias("bytes"))
+    return sized.select("gen", "bytes", (F.col("bytes") >= FLUSH_BYTES).alias("flush"))
+
+
+def level_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and bytes of the levels, if the first generation is level 1 and the others are level 0."""
+    log = event_log(spark, sf_dir).join(_table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "props"), "seq")
+    sized = _with_gen(log).groupBy("gen").agg(F.sum(scalar.entry_bytes("key", "props")).alias("bytes"))
+    return files.level_bytes(sized.withColumn("level", F.when(F.col("gen") == 0, 1).otherwise(0)))
 
 
 def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,16 +273,197 @@ def manifest_leveled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chaos_verify_lost_corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What was put last before a point, held against the final state."""
+    """What every key was put to last, held against the final state."""
     log = event_log(spark, sf_dir)
-    expected = newest.visible(newest.as_of(log, 3 * WIDTH))
+    expected = newest.newest_wins(log.filter(F.col("op") == PUT))
     return read.verify(expected, log)
 
 
 def key_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of the keys and the first and last key of every user."""
-    state = newest.visible(event_log(spark, sf_dir))
-    return state.groupBy(F.substring("key", 1, 6).alias("user")).agg(F.sum(scalar.entry_bytes(F.col("key"), F.lit(""))).cast("long").alias("bytes"), F.min("key").alias("first"), F.max("key").alias("last"))
+    """Bytes of the keys and values and the first and last key of every user."""
+    state = newest.visible(event_log(spark, sf_dir)).join(_table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "props"), "seq")
+    return state.groupBy(F.substring("key", 1, 6).alias("user")).agg(F.sum(scalar.entry_bytes("key", "props")).cast("long").alias("bytes"), F.min("key").alias("first"), F.max("key").alias("last"))
+
+
+# Tables
+
+
+def _byte_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a batch: the value is the event's number; `part` is its quarter of the numbers, by age."""
+    log = event_log(spark, sf_dir)
+    most = log.agg(F.max("seq").alias("_most"))
+    value = F.when(F.col("op") == PUT, F.col("seq").cast("string").cast("binary"))
+    rows = log.crossJoin(F.broadcast(most))  # one row
+    return rows.select(F.col("key").cast("binary").alias("key"), value.alias("value"), F.col("op").cast("byte").alias("op"), F.col("seq").alias("ordinal"), F.expr("seq * 4 DIV (_most + 1)").alias("part"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lamina-")
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def _loaded(spark: SparkSession, sf_dir: str, parts: int = 4, options: Options | None = None) -> KVTable:
+    """A table with the first parts of the log, one version each."""
+    table = KVTable(spark, scratch(spark), options or Options(auto_compact=False))
+    log = _byte_log(spark, sf_dir)
+    for i in range(parts):
+        table.apply(log.filter(F.col("part") == i).drop("part"))
+    return table
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").cast("long").alias("seq"))
+
+
+def kv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(_loaded(spark, sf_dir).scan())
+
+
+def kv_reverse_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(_loaded(spark, sf_dir).scan(START.encode(), END.encode(), reverse=True))
+
+
+def kv_get_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first key that an iterator gives, looked up."""
+    table = _loaded(spark, sf_dir)
+    return _shown(table.get(bytes(next(table.iterate())["key"])))
+
+
+def kv_multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key and as many absent ones."""
+    table = _loaded(spark, sf_dir)
+    keys = event_log(spark, sf_dir).select("key").distinct()
+    asked = keys.union(keys.select(F.concat("key", F.lit("x")))).select(F.col("key").cast("binary").alias("key"))
+    found = table.multi_get(asked)
+    return _shown(found).join(found.select(F.col("key").cast("string").alias("key"), "state"), "key")
+
+
+def kv_put_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All puts as one batch, then every key that an error names deleted, whether it is there or not."""
+    table = KVTable(spark, scratch(spark), Options(auto_compact=False))
+    log = _byte_log(spark, sf_dir)
+    table.put(log.filter(F.col("op") == PUT).select("key", "value", "ordinal"))
+    table.delete(log.filter(F.col("op") == DELETE).select("key").distinct())
+    return _shown(table.scan())
+
+
+def kv_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mutations that are left by a compaction of everything: one put for each visible key, in its old order."""
+    table = _loaded(spark, sf_dir)
+    table.compact(force=True)
+    rows = table.mutations()
+    return _shown(rows).join(rows.select(F.col("key").cast("string").alias("key"), F.col("op").cast("int").alias("op"), F.shiftright("seq", ORDINAL_BITS).alias("version")), "key")
+
+
+def kv_delta_on_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the levels after a compaction of three batches and one more batch, whose tombstones stay."""
+    table = _loaded(spark, sf_dir, 3)
+    table.compact(force=True)
+    table.apply(_byte_log(spark, sf_dir).filter("part = 3").drop("part"))
+    levels = table.files().groupBy("level").agg(F.sum("entries").alias("entries"))
+    stats = table.stats().select("l1_disjoint", (F.col("l0_bytes") > 0).alias("has_delta"))
+    return levels.crossJoin(F.broadcast(stats))  # one row
+
+
+def kv_second_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two compactions, the second over the files of the first, and a vacuum; the state is that of the log."""
+    table = _loaded(spark, sf_dir, 2)
+    table.compact(force=True)
+    log = _byte_log(spark, sf_dir)
+    for i in (2, 3):
+        table.apply(log.filter(F.col("part") == i).drop("part"))
+    table.compact(force=True)
+    dropped = len(table.vacuum())
+    return _shown(table.scan()).withColumn("vacuumed", F.lit(dropped > 0))
+
+
+def kv_level_1_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many small files of level 1 merged into one; the rows are the same."""
+    table = _loaded(spark, sf_dir, 4, Options(auto_compact=False, file_bytes=16_384))
+    table.compact(force=True)
+    before = table.stats().first()["l1_count"]
+    table.options.file_bytes, table.options.flush_bytes, table.options.l1_ratio = 1 << 30, 1, 1
+    table.compact()
+    return _shown(table.scan()).withColumns({"had_several": F.lit(before > 1), "files": F.lit(table.stats().first()["l1_count"])})
+
+
+def kv_as_of_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after two of four batches."""
+    return _shown(_loaded(spark, sf_dir).scan(version=2))
+
+
+def kv_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as another opening of its folder sees it, with automatic compaction after every batch."""
+    table = _loaded(spark, sf_dir, 4, Options(l0_threshold=1))
+    with KVTable(spark, table.root) as again:
+        return _shown(again.scan())
+
+
+# Byte formats
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as files of write-ahead log, of a thousand records or fewer."""
+    rows = _byte_log(spark, sf_dir).withColumn("path", F.format_string("%012d.log", F.expr("ordinal DIV 1000")))
+    return binary.encode(rows, "log", "ordinal")
+
+
+def _generation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generations as sorted tables."""
+    rows = _byte_log(spark, sf_dir).withColumn("path", F.expr(f"cast(ordinal DIV {WIDTH} as string)"))
+    return binary.encode(newest.newest_wins(rows.drop("part"), ("path", "key"), ["ordinal"]), "tables", "key")
+
+
+def wal_replay_torn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that all lost their last three bytes, replayed: every one gives up its last record alone."""
+    torn = _segments(spark, sf_dir).withColumn("content", F.expr("substring(content, 1, length(content) - 3)"))
+    rows = binary.decode(torn, "log").withColumn("segment", scalar.file_number(F.col("file"), "log"))
+    state = newest.newest_wins(rows.select("key", "op", "segment", "ordinal"), order=["segment", "ordinal"])
+    return state.select(F.col("key").cast("string").alias("key"), F.col("op").cast("int").alias("op"), "segment", "ordinal")
+
+
+def wal_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and bytes of every segment."""
+    files_ = _segments(spark, sf_dir)
+    sizes = files_.select(F.col("path").alias("file"), F.length("content").cast("long").alias("bytes"))
+    return binary.decode(files_, "log").groupBy("file").agg(F.count("*").alias("records")).join(sizes, "file")
+
+
+def table_files_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted tables of the generations, decoded and merged."""
+    rows = binary.decode(_generation_tables(spark, sf_dir), "tables").withColumn("file", F.col("file").cast("long"))
+    return _shown(newest.live(newest.newest_wins(rows.select("key", "value", "op", "file"), order=["file"])))
+
+
+def table_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = binary.footers(_generation_tables(spark, sf_dir))
+    return found.select(F.col("path").cast("long").alias("file"), F.col("min_key").cast("string").alias("min_key"), F.col("max_key").cast("string").alias("max_key"), "entries", "blocks", "bloom")
+
+
+def table_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's key, and one that is nowhere, asked of the next generation's table: what its range, its filter and its records say."""
+    asked = _byte_log(spark, sf_dir).select(F.expr(f"cast(ordinal DIV {WIDTH} + 1 as string)").alias("path"), "key").distinct()
+    absent = asked.select("path", F.concat("key", F.lit(b"x")).alias("key"))
+    found = binary.probe(_generation_tables(spark, sf_dir), asked.union(absent)).filter("outcome IS NOT NULL")
+    return found.groupBy(F.col("path").cast("long").alias("file"), "outcome").agg(F.count("*").alias("n"))
+
+
+def edit_log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as edit logs, encoded, decoded and folded into the live files and their levels."""
+    edits = _edits(spark, sf_dir).select(F.format_string("%012d", F.expr("version DIV 1000")).alias("path"), F.col("version").alias("order"), "action", F.col("file").cast("string").alias("file"), "level")
+    decoded = binary.decode(binary.encode(edits, "edits", "order"), "edits")
+    return files.live_set(decoded).select(F.col("file").cast("long").alias("file"), "level")
+
+
+def key_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CRC-32 and FNV-1a of every key."""
+    keys = event_log(spark, sf_dir).select("key").distinct()
+    return keys.select("key", scalar.crc(F.col("key").cast("binary")).alias("crc"), scalar.fnv1a_column(F.col("key").cast("binary")).cast("string").alias("fnv"))
 
 
 @dataclass(frozen=True)
@@ -275,10 +474,15 @@ class Case:
 
 _RANGE = f"key >= '{START}' AND key < '{END}'"
 _SLICES = f"{STATE}, slices AS (SELECT substr(key, 1, 5) AS file, min(key) AS min_key, max(key) AS max_key, count(*) AS entries FROM newest GROUP BY 1)"
-_FOURTHS = f"WITH {LOG}, fourths AS (SELECT * FROM (SELECT *, seq % 4 AS file, row_number() OVER (PARTITION BY seq % 4, key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1), placed AS (SELECT file, key, row_number() OVER (PARTITION BY file ORDER BY key) - 1 AS place FROM fourths)"
+_PLACED = f"WITH {LOG}, per_file AS (SELECT * FROM (SELECT *, gen AS file, row_number() OVER (PARTITION BY gen, key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1), placed AS (SELECT file, key, row_number() OVER (PARTITION BY file ORDER BY key) - 1 AS place FROM per_file)"
 _LAST_EDIT = "SELECT o_custkey AS file, CAST(o_orderkey % 2 AS INTEGER) AS level, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM orders"
 
 
+#: FNV-1a of `key`, of ASCII characters, in integers of 128 bits.
+_FNV = f"list_reduce(list_concat([CAST({scalar.FNV_OFFSET} AS HUGEINT)], list_transform(string_split(key, ''), lambda c: CAST(ord(c) AS HUGEINT))), lambda h, b: xor(h, b) * CAST({scalar.FNV_PRIME} AS HUGEINT) % CAST({1 << 64} AS HUGEINT))"
+_SIZED = "sized AS (SELECT l.gen, CAST(sum(strlen(l.key) + coalesce(strlen(e.props), 0)) AS BIGINT) AS bytes FROM log l JOIN events e ON e.event_id = l.seq GROUP BY l.gen)"
+
+
 def _visible_before(condition: str) -> str:
     return f"WITH {LOG}, part AS (SELECT * FROM log WHERE {condition}) SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM part) WHERE rn = 1 AND op = 1"
 
@@ -291,8 +495,8 @@ CASES = (
     Case(delete_then_put_revives, f"{STATE} SELECT n.key, n.value, d.deleted_at FROM newest n JOIN (SELECT key, min(seq) AS deleted_at FROM log WHERE op = 2 GROUP BY key) d ON d.key = n.key WHERE n.op = 1 AND d.deleted_at < n.seq"),
     Case(get_hit, f"{STATE} SELECT key, value FROM newest WHERE op = 1 AND key = '000000:01'"),
     Case(get_miss, f"{STATE} SELECT key, value FROM newest WHERE op = 1 AND key = '000000:99'"),
-    Case(get_deleted, f"{STATE} SELECT key, 'deleted' AS state FROM newest WHERE op = 2"),
-    Case(multi_get, f"{STATE}, asked AS (SELECT key FROM log WHERE seq % 7 = 0 UNION SELECT key || 'x' FROM log WHERE seq % 11 = 0) SELECT a.key, CASE WHEN n.op IS NULL THEN 'absent' WHEN n.op = 2 THEN 'deleted' ELSE 'found' END AS state, CASE WHEN n.op = 1 THEN n.value END AS value FROM asked a LEFT JOIN newest n ON n.key = a.key"),
+    Case(get_deleted, f"{STATE} SELECT min(key) AS key, 'deleted' AS state FROM newest WHERE op = 2"),
+    Case(multi_get, f"{STATE}, asked AS (SELECT key FROM log UNION SELECT key || 'x' FROM log) SELECT a.key, CASE WHEN n.op IS NULL THEN 'absent' WHEN n.op = 2 THEN 'deleted' ELSE 'found' END AS state, CASE WHEN n.op = 1 THEN n.value END AS value FROM asked a LEFT JOIN newest n ON n.key = a.key"),
     Case(scan_half_open, f"{STATE} SELECT key, value FROM newest WHERE op = 1 AND {_RANGE} ORDER BY key"),
     Case(scan_empty_range, f"{STATE} SELECT key, value FROM newest WHERE key >= '{START}' AND key < '{START}'"),
     Case(scan_seek, f"{STATE} SELECT key, value FROM newest WHERE op = 1 AND key >= '{END}' ORDER BY key"),
@@ -312,16 +516,44 @@ CASES = (
     Case(l1_locate_file, f"{_SLICES} SELECT k.key, s.file FROM (SELECT DISTINCT key FROM log) k LEFT JOIN slices s ON k.key >= s.min_key AND k.key <= s.max_key"),
     Case(file_stats, f"{FILES} SELECT file, min_key, max_key, entries FROM files"),
     Case(file_skip_for_range, f"{_SLICES} SELECT file, (max_key < '{START}' OR min_key >= '{END}') AS skipped FROM slices"),
-    Case(sparse_index_every_64, f"{_FOURTHS} SELECT file, key, place FROM placed WHERE place % 64 = 0"),
-    Case(sparse_index_floor, f"{_FOURTHS} SELECT p.file, p.key, i.key AS floor_key FROM placed p JOIN placed i ON i.file = p.file AND i.place = p.place - p.place % 64"),
+    Case(sparse_index_every_64, f"{_PLACED} SELECT file, key, place FROM placed WHERE place % 64 = 0"),
+    Case(sparse_index_floor, f"{_PLACED} SELECT p.file, p.key, i.key AS floor_key FROM placed p JOIN placed i ON i.file = p.file AND i.place = p.place - p.place % 64"),
     Case(bloom_sizing, f"{FILES}, bits AS (SELECT file, entries, greatest(8, CAST(ceil(-entries * ln(0.01) / power(ln(2), 2)) AS BIGINT)) AS bits FROM files) SELECT file, entries, bits, CAST(greatest(1, round(bits / entries * ln(2))) AS BIGINT) AS hashes FROM bits"),
-    Case(flush_trigger_by_bytes, f"WITH {LOG} SELECT gen, CAST(sum(strlen(key)) AS BIGINT) AS key_bytes, sum(strlen(key)) >= 20000 AS flush FROM log GROUP BY gen"),
+    Case(flush_trigger_by_bytes, f"WITH {LOG}, {_SIZED} SELECT gen, bytes, bytes >= {FLUSH_BYTES} AS flush FROM sized"),
+    Case(level_bytes, f"WITH {LOG}, {_SIZED} SELECT CASE WHEN gen = 0 THEN 1 ELSE 0 END AS level, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS files FROM sized GROUP BY 1"),
     Case(table_stats, f"{FILES} SELECT CASE WHEN file >= 2 THEN 0 ELSE 1 END AS level, count(*) AS files, CAST(sum(entries) AS BIGINT) AS entries FROM files GROUP BY 1"),
     Case(next_sequence, f"WITH {LOG} SELECT max(gen) + 2 AS next_seq FROM log"),
     Case(manifest_live_set, f"SELECT file FROM ({_LAST_EDIT}) WHERE rn = 1 AND o_orderstatus <> 'P'"),
     Case(manifest_leveled, f"SELECT file, level FROM ({_LAST_EDIT}) WHERE rn = 1 AND o_orderstatus <> 'P'"),
-    Case(chaos_verify_lost_corrupt, f"{STATE}, expected AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM log WHERE seq <= {3 * WIDTH}) WHERE r = 1 AND op = 1) SELECT CAST(coalesce(sum(CASE WHEN n.key IS NOT NULL AND n.value IS NOT DISTINCT FROM e.value THEN 1 ELSE 0 END), 0) AS BIGINT) AS verified, CAST(coalesce(sum(CASE WHEN n.key IS NULL THEN 1 ELSE 0 END), 0) AS BIGINT) AS lost, CAST(coalesce(sum(CASE WHEN n.key IS NOT NULL AND n.value IS DISTINCT FROM e.value THEN 1 ELSE 0 END), 0) AS BIGINT) AS corrupt FROM expected e LEFT JOIN (SELECT * FROM newest WHERE op = 1) n ON n.key = e.key"),
-    Case(key_sizes, f"{STATE} SELECT substr(key, 1, 6) AS \"user\", CAST(sum(strlen(key)) AS BIGINT) AS bytes, min(key) AS first, max(key) AS last FROM newest WHERE op = 1 GROUP BY 1"),
+    Case(chaos_verify_lost_corrupt, f"{STATE}, expected AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM log WHERE op = 1) WHERE r = 1) SELECT CAST(coalesce(sum(CASE WHEN n.key IS NOT NULL AND n.value IS NOT DISTINCT FROM e.value THEN 1 ELSE 0 END), 0) AS BIGINT) AS verified, CAST(coalesce(sum(CASE WHEN n.key IS NULL THEN 1 ELSE 0 END), 0) AS BIGINT) AS lost, CAST(coalesce(sum(CASE WHEN n.key IS NOT NULL AND n.value IS DISTINCT FROM e.value THEN 1 ELSE 0 END), 0) AS BIGINT) AS corrupt FROM expected e LEFT JOIN (SELECT * FROM newest WHERE op = 1) n ON n.key = e.key"),
+    Case(key_sizes, f"{STATE} SELECT substr(key, 1, 6) AS \"user\", CAST(sum(strlen(key) + coalesce(strlen(e.props), 0)) AS BIGINT) AS bytes, min(key) AS first, max(key) AS last FROM newest n JOIN events e ON e.event_id = n.seq WHERE op = 1 GROUP BY 1"),
+    Case(kv_scan, f"{STATE} SELECT key, seq FROM newest WHERE op = 1"),
+    Case(kv_reverse_range, f"{STATE} SELECT key, seq FROM newest WHERE op = 1 AND {_RANGE} ORDER BY key DESC"),
+    Case(kv_get_first, f"{STATE} SELECT key, seq FROM newest WHERE op = 1 ORDER BY key LIMIT 1"),
+    Case(kv_multi_get, f"{STATE}, asked AS (SELECT key FROM log UNION SELECT key || 'x' FROM log) SELECT a.key, CASE WHEN n.op IS NULL THEN 'absent' WHEN n.op = 2 THEN 'deleted' ELSE 'found' END AS state, CASE WHEN n.op = 1 THEN n.seq END AS seq FROM asked a LEFT JOIN newest n ON n.key = a.key"),
+    Case(kv_put_delete, f"WITH {LOG} SELECT key, max(seq) AS seq FROM log WHERE op = 1 AND key NOT IN (SELECT key FROM log WHERE op = 2) GROUP BY key"),
+    Case(kv_compacted, f"{STATE} SELECT key, seq, op, seq * 4 // ((SELECT max(seq) FROM log) + 1) + 1 AS version FROM newest WHERE op = 1"),
+    Case(kv_delta_on_compacted, f"WITH {LOG}, quarters AS (SELECT *, seq * 4 // ((SELECT max(seq) FROM log) + 1) AS part FROM log), old AS (SELECT key, arg_max(op, seq) AS op FROM quarters WHERE part < 3 GROUP BY key) SELECT 1 AS level, count(*) AS entries, true AS l1_disjoint, true AS has_delta FROM old WHERE op = 1 UNION ALL SELECT 0, count(*), true, true FROM quarters WHERE part = 3"),
+    Case(kv_second_compaction, f"{STATE} SELECT key, seq, true AS vacuumed FROM newest WHERE op = 1"),
+    Case(kv_level_1_merge, f"{STATE} SELECT key, seq, true AS had_several, 1 AS files FROM newest WHERE op = 1"),
+    Case(kv_as_of_version, _visible_before("seq * 4 // ((SELECT max(seq) FROM log) + 1) < 2").replace("key, value FROM", "key, seq FROM")),
+    Case(kv_reopened, f"{STATE} SELECT key, seq FROM newest WHERE op = 1"),
+    Case(wal_replay_torn, f"WITH {LOG}, kept AS (SELECT *, seq // 1000 AS segment FROM log WHERE seq NOT IN (SELECT max(seq) FROM log GROUP BY seq // 1000)) SELECT key, op, segment, ordinal FROM (SELECT *, seq - min(seq) OVER (PARTITION BY segment) AS ordinal, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM kept) WHERE rn = 1"),
+    Case(wal_records, f"WITH {LOG} SELECT printf('%012d.log', seq // 1000) AS file, count(*) AS records, CAST(sum(13 + strlen(key) + CASE WHEN op = 1 THEN strlen(CAST(seq AS VARCHAR)) ELSE 0 END) AS BIGINT) AS bytes FROM log GROUP BY 1"),
+    Case(table_files_merge, f"{STATE} SELECT key, seq FROM newest WHERE op = 1"),
+    Case(table_footers, f"WITH {LOG} SELECT gen AS file, min(key) AS min_key, max(key) AS max_key, count(DISTINCT key) AS entries, (count(DISTINCT key) + 63) // 64 AS blocks, true AS bloom FROM log GROUP BY gen"),
+    Case(table_probes, f"""WITH {LOG}, t AS (SELECT gen AS file, min(key) AS low, max(key) AS high, count(DISTINCT key) AS n FROM log GROUP BY gen),
+sized AS (SELECT *, (greatest(8, CAST(ceil(-n * ln(0.01) / power(ln(2), 2)) AS BIGINT)) + 7) // 8 * 8 AS slots, CAST(greatest(1, floor(greatest(8, ceil(-n * ln(0.01) / power(ln(2), 2))) / n * ln(2) + 0.5)) AS BIGINT) AS k FROM t),
+asked AS (SELECT DISTINCT gen + 1 AS file, key FROM log UNION ALL SELECT DISTINCT gen + 1, key || 'x' FROM log),
+hashed AS (SELECT key, {_FNV} AS h FROM (SELECT DISTINCT key FROM asked UNION SELECT DISTINCT key FROM log)),
+halves AS (SELECT key, CAST(h // 4294967296 AS BIGINT) AS high, CAST(h % 4294967296 AS BIGINT) AS low FROM hashed),
+bits AS (SELECT s.file, list(DISTINCT p) AS ps FROM (SELECT DISTINCT gen, key FROM log) l JOIN sized s ON s.file = l.gen JOIN halves h ON h.key = l.key, unnest(list_transform(range(s.k), lambda i: (h.high + i * h.low) % 4294967296 % s.slots)) AS u(p) GROUP BY s.file),
+probed AS (SELECT a.file, a.key, s.low, s.high, list_transform(range(s.k), lambda i: (h.high + i * h.low) % 4294967296 % s.slots) AS own, b.ps, EXISTS (SELECT 1 FROM log l WHERE l.gen = a.file AND l.key = a.key) AS there
+  FROM asked a JOIN sized s ON s.file = a.file JOIN halves h ON h.key = a.key JOIN bits b ON b.file = a.file)
+SELECT file, CASE WHEN key < low OR key > high THEN 'range' WHEN NOT list_has_all(ps, own) THEN 'filter' WHEN there THEN 'found' ELSE 'absent' END AS outcome, count(*) AS n FROM probed GROUP BY ALL"""),
+    Case(edit_log_replay, f"SELECT file, level FROM ({_LAST_EDIT}) WHERE rn = 1 AND o_orderstatus <> 'P'"),
+    Case(key_checksums, f"""WITH {LOG}, t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs)
+SELECT key, xor(list_reduce(list_concat([4294967295], list_transform(string_split(key, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295) AS crc, CAST({_FNV} AS VARCHAR) AS fnv FROM (SELECT DISTINCT key FROM log), t"""),
 )
 
 

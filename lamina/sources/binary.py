@@ -186,7 +186,18 @@ def decode_table(content: bytes) -> Table:
     return out
 
 
-def _decoded(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
+SCHEMAS = {
+    "log": "file string, ordinal long, op tinyint, key binary, value binary",
+    "tables": "file string, ordinal long, op tinyint, key binary, value binary",
+    "edits": "version string, ordinal long, action tinyint, file string, level int",
+}
+
+
+def decode(files: DataFrame, kind: str) -> DataFrame:
+    """The entries of files (path, content), as `read_log`, `read_tables` and `read_edits` give them; `kind` is a key of `SCHEMAS`."""
+    schema = SCHEMAS[kind]
+    columns = [x.split()[0] for x in schema.split(", ")]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for file, content in zip(frame["path"], frame["content"], strict=True):
@@ -209,23 +220,96 @@ def _decoded(spark: SparkSession, path: str, kind: str, schema: str) -> DataFram
                 if out:
                     yield pd.DataFrame(out, columns=columns)
 
-    columns = [x.split()[0] for x in schema.split(", ")]
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def encode(rows: DataFrame, kind: str, order: str) -> DataFrame:
+    """Files (path, content) of rows with a `path`: one for each, with its rows in the order of the column `order`.
+
+    For logs and tables rows have op, key and value, for edits action, file and level. What a file holds has to
+    fit a task, as it does when the file is read; deal rows over as many paths as that needs.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order)
+        if kind == "edits":
+            content = b"".join(encode_edit(int(a), f, int(n)) for a, f, n in zip(frame["action"], frame["file"], frame["level"], strict=True))
+        else:
+            entries = [(int(op), bytes(k), None if v is None else bytes(v)) for op, k, v in zip(frame["op"], frame["key"], frame["value"], strict=True)]
+            content = b"".join(encode_record(*x) for x in entries) if kind == "log" else encode_table(entries)
+        return pd.DataFrame({"path": [frame["path"].iloc[0]], "content": [content]})
+
+    return rows.groupBy("path").applyInPandas(run, "path string, content binary")
+
+
+def footers(files: DataFrame) -> DataFrame:
+    """path, min_key, max_key, entries, blocks (in the sparse index), bloom (whether there is a filter) of sorted tables."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            own = [decode_table(bytes(x)) for x in frame["content"]]
+            yield pd.DataFrame({"path": frame["path"], "min_key": [x.min_key for x in own], "max_key": [x.max_key for x in own], "entries": [x.entries for x in own], "blocks": [len(x.index) for x in own], "bloom": [x.bloom is not None for x in own]})
+
+    return files.select("path", "content").mapInPandas(run, "path string, min_key binary, max_key binary, entries long, blocks long, bloom boolean")
+
+
+def probe(files: DataFrame, probes: DataFrame) -> DataFrame:
+    """path, key, outcome of every probe (path, key) of a sorted table: outside its range, not in its filter, absent or found.
+
+    The first two read no record; a probe of a table that is not there has no outcome.
+    """
+
+    def run(tables: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        own = decode_table(bytes(tables["content"].iloc[0])) if len(tables) else None
+        out = []
+        for key in map(bytes, asked["key"]):
+            if own is None:
+                out.append(None)
+            elif not own.entries or not own.min_key <= key <= own.max_key:
+                out.append("range")
+            elif own.bloom and key not in own.bloom:
+                out.append("filter")
+            else:
+                out.append("found" if own.get(key) else "absent")
+        return pd.DataFrame({"path": asked["path"], "key": asked["key"], "outcome": pd.Series(out, dtype=object)})
+
+    return files.groupBy("path").cogroup(probes.groupBy("path")).applyInPandas(run, "path string, key binary, outcome string")
+
+
+def save(files: DataFrame, folder: str) -> int:
+    """Writes files (path, content) into a folder on any file system that Spark writes to, one at a time; returns how many."""
+    spark = files.sparkSession
+    new_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = new_path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(new_path(folder))
+    n = 0
+    for row in files.select("path", "content").toLocalIterator():
+        stream = fs.create(new_path(f"{folder.rstrip('/')}/{row['path']}"), False)
+        try:
+            stream.write(bytearray(row["content"]))
+        finally:
+            stream.close()
+        n += 1
+    return n
+
+
+def _read(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return decode(spark.read.format("binaryFile").load(path), kind)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """file, ordinal, op, key, value of write-ahead logs; each ends at its first torn or corrupt record, the next goes on."""
-    return _decoded(spark, path, "log", "file string, ordinal long, op tinyint, key binary, value binary")
+    return _read(spark, path, "log")
 
 
 def read_tables(spark: SparkSession, path: str) -> DataFrame:
     """file, ordinal, op, key, value of sorted tables; a corrupt one is an error."""
-    return _decoded(spark, path, "tables", "file string, ordinal long, op tinyint, key binary, value binary")
+    return _read(spark, path, "tables")
 
 
 def read_edits(spark: SparkSession, path: str) -> DataFrame:
     """version (the file), ordinal, action, file, level of edit logs, up to the first corrupt edit."""
-    return _decoded(spark, path, "edits", "version string, ordinal long, action tinyint, file string, level int")
+    return _read(spark, path, "edits")
 
 
 def current(text: bytes) -> str:

@@ -65,5 +65,15 @@ def test_readers(spark, tmp_path):
     assert binary.read_edits(spark, str(tmp_path / "m")).first()["level"] == 1
 
 
+def test_files_are_made_probed_and_saved(spark, tmp_path):
+    rows = spark.createDataFrame([(f"t{i % 3}", op, k, v) for i, (op, k, v) in enumerate(ROWS)], "path string, op int, key binary, value binary")
+    made = binary.encode(rows, "tables", "key")
+    assert {x["path"]: x["entries"] for x in binary.footers(made).collect()} == {"t0": 100, "t1": 100, "t2": 100}
+    asked = spark.createDataFrame([("t0", b"k0000"), ("t0", b"k0001"), ("t0", b"zz"), ("t9", b"k0000"), ("t0", b"k0000")], "path string, key binary")
+    got = sorted((x["path"], bytes(x["key"]), x["outcome"]) for x in binary.probe(made, asked).collect())
+    assert got[0] == got[1] == ("t0", b"k0000", "found") and got[2][2] in ("filter", "absent") and got[3:] == [("t0", b"zz", "range"), ("t9", b"k0000", None)]
+    assert binary.save(made, str(tmp_path / "out")) == 3 and binary.read_tables(spark, str(tmp_path / "out")).count() == 300
+
+
 def test_generator(spark):
     assert [(bytes(r["key"]), bytes(r["value"])) for r in sample_rows(spark, 2).collect()] == [(b"key:00000000", b"val:00000000"), (b"key:00000001", b"val:00000001")]

@@ -1,5 +1,7 @@
 """Resolution, reads and files on small hand-made cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,15 +38,24 @@ def test_both_forms_agree(spark):
     assert rows(newest.newest_wins(df)) == rows(newest.newest_wins_wide(df))
 
 
-def test_four_way_compaction(spark):
-    tables = [[("a", "a-gen1"), ("b", "b-gen1"), ("e", "e-only")], [("a", "a-gen2"), ("c", "c-only")], [("b", "b-gen3"), ("d", "d-only")], [("e", None)]]
-    sources = [log(spark, t).drop("seq") for t in reversed(tables)]
-    assert state(newest.merge(sources, drop_tombstones=True)) == {"a": "a-gen2", "b": "b-gen3", "c": "c-only", "d": "d-only"}
+@pytest.mark.parametrize("seed", range(3))
+def test_merge_of_random_sources_against_a_dict(spark, seed):
+    r = random.Random(seed)
+    tables = [{f"k{r.randrange(25)}": r.choice([None, f"v{r.random()}"]) for _ in range(r.randint(0, 20))} for _ in range(r.randint(1, 5))]
+    model = {}
+    for t in tables:
+        model |= t
+    sources = [log(spark, [*t.items()]).drop("seq") for t in reversed(tables)]
+    assert state(newest.merge(sources, drop_tombstones=True)) == {k: v for k, v in model.items() if v is not None}
+    assert {bytes(x["key"]).decode(): x["value"] and bytes(x["value"]).decode() for x in newest.merge(sources).collect()} == model
 
 
-def test_three_way_rank(spark):
-    sources = [log(spark, [("a", "newest"), ("z", "z0")]), log(spark, [("a", "middle")]), log(spark, [("a", "oldest")])]
-    assert state(newest.merge([s.drop("seq") for s in sources])) == {"a": "newest", "z": "z0"}
+def test_equal_orders_go_to_the_larger_row(spark):
+    rows = [(b"a", b"1", 1, 5), (b"a", b"3", 1, 5), (b"a", b"2", 2, 5), (b"a", None, 2, 5), (b"b", b"9", 1, 1), (b"b", None, 2, 2)]
+    for _ in range(3):
+        random.shuffle(rows)
+        df = spark.createDataFrame(rows, "key binary, value binary, op int, seq long").repartition(3)
+        assert sorted((bytes(x["key"]), x["value"] and bytes(x["value"]), x["op"]) for x in newest.newest_wins(df).collect()) == [(b"a", b"3", 1), (b"b", None, 2)]
 
 
 def test_tombstone_coverage(spark):
@@ -94,14 +105,15 @@ def test_verify_counts(spark):
     assert read.verify(expected.limit(0), df).first().asDict() == {"verified": 0, "lost": 0, "corrupt": 0}
 
 
-@pytest.mark.parametrize(
-    ("edits", "live"),
-    [([], []), (["+2", "+1"], ["1", "2"]), (["+1", "+2", "-1"], ["2"]), (["+1", "-1", "+1"], ["1"]), (["+1", "+2", "+3", "-1", "-2"], ["3"]), (["-99", "+1"], ["1"])],
-)
-def test_live_set(spark, edits, live):
-    rows = [(x[1:], 1 if x[0] == "+" else 2, i, i, 0) for i, x in enumerate(edits)]
-    df = spark.createDataFrame(rows, "file string, action int, level int, version int, ordinal int")
-    assert [r["file"] for r in files.live_set(df).collect()] == live
+@pytest.mark.parametrize("seed", range(4))
+def test_live_set_of_random_edits_against_a_set(spark, seed):
+    r = random.Random(seed)
+    edits = [(f"f{r.randrange(8)}", r.choice([1, 2])) for _ in range(12 * seed)]
+    live = set()
+    for file, action in edits:
+        live = live | {file} if action == 1 else live - {file}
+    df = spark.createDataFrame([(f, a, i, i // 3, i % 3) for i, (f, a) in enumerate(edits)], "file string, action int, level int, version int, ordinal int").repartition(3)
+    assert [x["file"] for x in files.live_set(df).collect()] == sorted(live)
 
 
 def test_level_comes_from_the_last_addition(spark):
@@ -114,6 +126,14 @@ def test_locate_and_overlap(spark):
     level = spark.createDataFrame([("f1", "b", "d"), ("f2", "f", "h")], "file string, min_key string, max_key string")
     keys = spark.createDataFrame([(x,) for x in ["a", "b", "d", "e", "h", "i", None]], "key string")
     assert {r["key"]: r["file"] for r in files.locate(keys, level).collect()} == {"a": None, "b": "f1", "d": "f1", "e": None, "h": "f2", "i": None, None: None}
+    r = random.Random(1)
+    bounds = sorted(r.sample(range(1000), 80))
+    many = spark.createDataFrame([(f"f{i}", f"{a:03d}", f"{b:03d}") for i, (a, b) in enumerate(zip(bounds[::2], bounds[1::2], strict=True))], level.schema)
+    asked = spark.createDataFrame([(f"{i:03d}", i) for i in range(1000)] + [(None, -1)], "key string, i int")
+    brute = {i: next((f"f{k}" for k, (a, b) in enumerate(zip(bounds[::2], bounds[1::2], strict=True)) if a <= i <= b), None) for i in range(-1, 1000)}
+    for most in (50_000, 7, 1):
+        assert {x["i"]: x["file"] for x in files.locate(asked, many, most=most).collect()} == brute
+    assert files.locate(asked, many.limit(0)).filter("file IS NOT NULL").count() == 0
     assert files.overlapping_neighbours(level).count() == 0
     more = level.union(spark.createDataFrame([("f3", "h", "k")], level.schema))
     assert [r["file"] for r in files.overlapping_neighbours(more).collect()] == ["f3"]

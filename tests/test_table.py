@@ -1,5 +1,6 @@
 """Tables: batches, versions, compaction, conflicts; a random walk against a dict."""
 
+import os
 import random
 
 import pytest
@@ -151,6 +152,38 @@ def test_snapshots_of_the_log_agree_with_the_fold(spark, tmp_path):
     for v in range(1, 71):
         own.commit(v, [Action(ADDED, f"f{v}"), *([Action(2, f"f{v - 2}")] if v > 2 else [])])
     assert set(own.snapshot().files) == {"f69", "f70"} and set(own.snapshot(40).files) == {"f39", "f40"}
+    assert own.prune(20) == 0 and len(own.versions()) == 70
+    assert own.prune(69) == 64 and own.versions() == [*range(64, 71)]
+    assert set(own.snapshot().files) == {"f69", "f70"} and set(own.snapshot(64).files) == {"f63", "f64"}
+    with pytest.raises(ValueError):
+        own.snapshot(63)
+    own.commit(71, [Action(ADDED, "f71")])
+    assert own.prune(71) == 64 and own.snapshot().version == 71
+    (tmp_path / "s/_log" / f"{64:020d}.snapshot").unlink()
+    with pytest.raises(CorruptError):
+        own.snapshot()
+
+
+def test_commits_by_rename(spark, tmp_path):
+    own = CommitLog(spark, str(tmp_path / "r"))
+    own._local = False
+    own.commit(1, [Action(ADDED, "a")])
+    with pytest.raises(ConflictError):
+        own.commit(1, [Action(ADDED, "b")])
+    assert set(own.snapshot().files) == {"a"} and [x for x in os.listdir(tmp_path / "r/_log") if x.endswith(".tmp")] == []
+    with pytest.raises(ValueError):
+        CommitLog._scheme("s3a")
+
+
+def test_files_have_rows_and_keys_as_their_footers_say(spark, tmp_path):
+    table = KVTable(spark, str(tmp_path / "f"), Options(auto_compact=False, file_rows=7))
+    rows = [(b"\xff" + b"k" * 9000, b"long"), (b"", b"empty"), (b"\x80", b"h"), *((b"k%03d" % i, b"v") for i in range(40))]
+    table.put(spark.createDataFrame(rows, "key binary, value binary"))
+    listed = table.files().collect()
+    assert sum(x["entries"] for x in listed) == len(rows) and max(x["entries"] for x in listed) <= 7
+    for x in listed:
+        own = [bytes(r["key"]) for r in spark.read.parquet(f"{table.root}/{x['file']}").collect()]
+        assert (bytes(x["min_key"]), bytes(x["max_key"]), x["entries"]) == (min(own), max(own), len(own))
 
 
 def test_plans():

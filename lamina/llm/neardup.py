@@ -12,10 +12,11 @@ integers.
 Work on dense groups stays linear: the first round pairs each list's smallest node with the others and
 joins what is confirmed into components. The second round looks only at lists that still hold several
 components and pairs every two nodes of different ones that have not been compared yet, in blocks of
-`BLOCK` nodes; it leaves no candidate out. Two sets with a link have 85/185 of the sum of their sizes
-(at 80 percent 80/180) in common. Sizes alone rule out many pairs; in lists of over `DENSE` nodes, where most candidates of a group of
-loose copies would miss the threshold, the shingles that no other node of such lists has are counted, and
-nodes whose other shingles are too few are not paired.
+`BLOCK` nodes; it leaves no candidate out. Sizes and signatures rule out pairs there. In lists of over `DENSE` nodes,
+where most candidates of a group of loose copies would just miss the threshold, nodes bring their sets along, as
+32-bit hashes, and a pair leaves the block only if these sets do not rule it out (two shingles with one hash can
+only make sets look more alike than they are, which is allowed for). So what is joined with texts and confirmed is
+little more than the links.
 
 What is known of a list (its smallest node, its labels, its length) is aggregated and joined back, so no list
 has to fit a task; joins on keys that may be hot (a list, the smallest node of many lists, a class, a component) are
@@ -53,7 +54,7 @@ MATCHES = {PERCENT: 38, 80: 34}
 COUNTERS = 1 << 16
 #: Nodes of a list that are compared with as many others in one task.
 BLOCK = 2000
-#: In longer lists, what a node has in common with others at most is counted exactly before pairs are made.
+#: In longer lists, pairs are held against the nodes' sets before they are made.
 DENSE = 64
 #: Pairs whose signatures are compared at once.
 COMPARED = 20_000
@@ -210,17 +211,30 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _short(found: np.ndarray) -> bytes:
+    """A set as distinct 32-bit hashes."""
+    return np.unique(found.astype(np.uint32)).tobytes()
+
+
+def _may_link(one: tuple[np.ndarray, int], other: tuple[np.ndarray, int], percent: int) -> bool:
+    """False only if sets of the given sizes, with these 32-bit hashes, cannot be similar."""
+    (a, n), (b, m) = one, other
+    both = len(np.intersect1d(a, b, assume_unique=True)) + min(n - len(a), m - len(b))
+    return 100 * both >= percent * (n + m - both)
+
+
 def _compared(rows: pa.Table, shared: np.ndarray, percent: int) -> pa.RecordBatch | None:
-    """Pairs of rows of one group (key, _one, _two) with different labels and enough matches.
+    """Pairs of rows of one group (key, _one, _two) with different labels, enough matches and, if sets are there, these.
 
     Rows are sorted by group. All groups advance together: step d compares each row with the d-th after it.
     A pair meets in every list that posts both; it is returned in that of the smallest coordinate alone.
     """
-    key, one, two, own, node, label, size, common = (rows.column(x).to_numpy() for x in ("key", "_one", "_two", "_own", "node", "label", "n", "common"))
+    key, one, two, own, node, label, size = (rows.column(x).to_numpy() for x in ("key", "_one", "_two", "_own", "node", "label", "n"))
     n = len(key)
     begins = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
     ends = np.repeat(np.append(begins[1:], n), np.diff(np.append(begins, n)))
     keys = _values(rows.column("sig").to_pylist())
+    sets = [None if x is None else (np.frombuffer(x, dtype=np.uint32), m) for x, m in zip(rows.column("set").to_pylist(), size.tolist(), strict=True)]
     posted = np.zeros((n, COORDINATES), dtype=bool)
     np.put_along_axis(posted, _prefix(keys, shared, MATCHES[percent]), True, axis=1)
     values, coordinate = keys.astype(np.uint32), key.astype(np.uint64) >> np.uint64(32)
@@ -228,15 +242,17 @@ def _compared(rows: pa.Table, shared: np.ndarray, percent: int) -> pa.RecordBatc
     active, d = np.arange(n), 1
     while len(active := active[active + d < ends[active]]):
         after = active + d
-        least = -(-percent * (size[active] + size[after]) // (100 + percent))  # shingles that a link must have in common
-        pick = active[(label[active] != label[after]) & ((one[active] == two[active]) | (own[active] != own[after])) & (np.minimum(common[active], common[after]) >= least)]
+        small, large = np.minimum(size[active], size[after]), np.maximum(size[active], size[after])
+        pick = active[(label[active] != label[after]) & ((one[active] == two[active]) | (own[active] != own[after])) & (100 * small >= percent * large)]
         for at in range(0, len(pick), COMPARED):
             i = pick[at : at + COMPARED]
             j = i + d
             equal = values[i] == values[j]
             first = (equal & posted[i] & posted[j]).argmax(axis=1)
             keep = (equal.sum(axis=1) >= MATCHES[percent]) & (first == coordinate[i])
-            found.append((node[i[keep]], node[j[keep]]))
+            i, j = i[keep], j[keep]
+            kept = np.fromiter((sets[x] is None or _may_link(sets[x], sets[y], percent) for x, y in zip(i.tolist(), j.tolist(), strict=True)), dtype=bool, count=len(i))
+            found.append((node[i[kept]], node[j[kept]]))
         d += 1
     if not found:
         return None
@@ -244,16 +260,13 @@ def _compared(rows: pa.Table, shared: np.ndarray, percent: int) -> pa.RecordBatc
     return batch(a=np.minimum(a, b), b=np.maximum(a, b))
 
 
-def _own_shingles(dense: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, own: how many shingles of each of the `dense` nodes no other of them has."""
+def _sets(dense: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, set of the `dense` nodes."""
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(x) for x in utf8(rows.column("text"))]
-        return batch(node=np.repeat(rows.column("node").to_numpy(), [len(x) for x in sets]), shingle=np.concatenate(sets).astype(np.int64))
+        return batch(node=rows.column("node"), set=pa.array([_short(shingle_set(x)) for x in utf8(rows.column("text"))], pa.binary()))
 
-    each = map_batches(texts.join(dense, "node", "left_semi").select("node", "text"), run, "node long, shingle long")
-    once = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
-    return once.groupBy("node").agg(F.count("*").alias("own"))
+    return map_batches(texts.join(dense, "node", "left_semi").select("node", "text"), run, "node long, set binary")
 
 
 def _crossing(lists: DataFrame, nodes: DataFrame, texts: DataFrame, shared: np.ndarray, percent: int) -> DataFrame:
@@ -261,13 +274,12 @@ def _crossing(lists: DataFrame, nodes: DataFrame, texts: DataFrame, shared: np.n
     sized = lists.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("n"))
     sized = cut(sized.filter("_low != _high").select("key", "n"))
     mixed = cut(salted_join(lists, sized.withColumnRenamed("n", "_size"), "key", "node", weights=sized))
-    dense = mixed.filter(F.col("_size") > DENSE).select("node").distinct()
-    owned = _own_shingles(dense, texts)
+    sets = cut(_sets(mixed.filter(F.col("_size") > DENSE).select("node").distinct(), texts))
     blocks = mixed.withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int")).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     dealt = blocks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("key", "node", "label", "_size", "_own", F.least("_own", "_other").alias("_one"), F.greatest("_own", "_other").alias("_two"))
-    facts = nodes.join(owned, "node", "left").select("node", "sig", "n", F.coalesce("own", F.lit(0)).alias("own"))
-    common = F.when(F.col("_size") > DENSE, F.col("n") - F.col("own")).otherwise(F.col("n"))
-    with_sig = dealt.join(facts, "node").withColumn("common", common).repartition("key", "_one", "_two").sortWithinPartitions("key", "_one", "_two")
+    facts = nodes.select("node", "sig", "n").join(sets, "node", "left")
+    brought = F.when(F.col("_size") > DENSE, F.col("set")).alias("set")
+    with_sig = dealt.join(facts, "node").select("key", "_one", "_two", "_own", "node", "label", "n", "sig", brought).repartition("key", "_one", "_two").sortWithinPartitions("key", "_one", "_two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -283,7 +295,7 @@ def _crossing(lists: DataFrame, nodes: DataFrame, texts: DataFrame, shared: np.n
         if held is not None and len(held) and (out := _compared(held, shared, percent)):
             yield out
 
-    return with_sig.select("key", "_one", "_two", "_own", "node", "label", "n", "common", "sig").mapInArrow(run, "a long, b long")
+    return with_sig.mapInArrow(run, "a long, b long")
 
 
 def _assigned(docs: DataFrame, percent: int) -> DataFrame:

@@ -598,6 +598,19 @@ def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
     assert common.salted_join(many, few, "k", "v", "left").filter("x IS NULL").count() == 2 and common.salted_join(many, few, ["k"], "v", "left_semi").columns == ["k", "v"]
 
 
+def test_short_sets_rule_out_no_link():
+    r = np.random.default_rng(4)
+    for percent in (80, 85):
+        for _ in range(300):
+            base = r.integers(0, 1 << 63, 100, dtype=np.uint64)
+            many = int(r.integers(0, 25))
+            other = np.concatenate([base[many:], r.integers(0, 1 << 63, many, dtype=np.uint64)])
+            one, other = (np.unique(np.concatenate([x, x[:5] ^ np.uint64(1 << 40)])) for x in (base, other))  # five hashes that stand for two each
+            may = neardup._may_link(*[(np.frombuffer(neardup._short(x), dtype=np.uint32), len(x)) for x in (one, other)], percent)
+            assert may or not neardup.similar(one, other, percent)
+            assert not may or neardup.similar(one, other, percent - 12)
+
+
 def test_keep_first_keeps_columns(spark, odd):
     kept = neardup.keep_first(odd)
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 4, 5, 9, 10, 11, 13}

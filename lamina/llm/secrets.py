@@ -206,10 +206,11 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, mask: str = MASK, r
     `ledger`, if given, may hold findings of the rules run before; texts without any of the rules' hints stay
     where they are, the others meet their findings by blob.
     """
-    whole = scan(docs, ledger, rules) if ledger is None else ledger.unionByName(scan(docs, ledger, rules))
-    found = cut(_found(whole)).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
     hinted = F.coalesce(F.col("text").rlike(hints(rules)), F.lit(False))
-    suspect = docs.filter(hinted).withColumn("__blob", F.sha2(F.col("text").cast("binary"), 256)).withColumn("__deal", F.monotonically_increasing_id())
+    suspect = cut(docs.filter(hinted).withColumn("__blob", F.sha2(F.col("text").cast("binary"), 256)).withColumn("__deal", F.monotonically_increasing_id()))
+    new = scan(suspect.select("doc_id", "text"), ledger, rules)
+    whole = new if ledger is None else ledger.unionByName(new)
+    found = _found(whole).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
     rows = salted_join(suspect, found, "__blob", "__deal", "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(_masked(F.col("text"), F.col("__spans"), mask)))
     out = docs.filter(~hinted).union(rows.select(*docs.columns))
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Distinct words that a Python worker remembers before it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: Rows that are turned into Python objects together; texts may be long.
 ROWS = 1000
 #: As many rows as a batch has, for short rows.
@@ -91,6 +93,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _libc() -> ctypes.CDLL | None:
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another system's
+        return None
+
+
+def tidy() -> None:
+    """Gives memory that a task has freed back to the system; workers live on and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, rows: int = ROWS) -> DataFrame:
     """`function` over the Arrow batches of `df`, `rows` at a time, without a shuffle."""
     ship(df.sparkSession)
@@ -100,6 +117,7 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
             for at in range(0, whole.num_rows, rows):
                 if (out := function(whole.slice(at, rows))) is not None:
                     yield out
+        tidy()
 
     return df.mapInArrow(run, schema)
 

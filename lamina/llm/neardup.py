@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm._common import ALL_ROWS, batch, cut, map_batches, mix, salted_join, ship, shingles, utf8, word_hashes
+from lamina.llm._common import ALL_ROWS, batch, cut, map_batches, mix, salted_join, ship, shingles, tidy, utf8, word_hashes
 
 WIDTH = 5
 COORDINATES = 64
@@ -294,6 +294,7 @@ def _crossing(lists: DataFrame, nodes: DataFrame, texts: DataFrame, shared: np.n
                 yield out
         if held is not None and len(held) and (out := _compared(held, shared, percent)):
             yield out
+        tidy()
 
     return with_sig.mapInArrow(run, "a long, b long")
 

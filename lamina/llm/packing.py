@@ -41,7 +41,7 @@ CAPACITY = 2048
 #: The id that closes each document.
 CLOSING = b"\0\0\0\0"
 #: Chunks that a Python worker remembers before it starts afresh.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 100_000
 #: Longer chunks are not remembered.
 CACHE_LENGTH = 96
 #: Bytes of text that are encoded together.

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm._common import batch, cut, map_batches, mix, ship, word_hashes
+from lamina.llm._common import batch, cut, map_batches, mix, ship, tidy, word_hashes
 
 CHAIN = 3
 SPARSE = 12
@@ -189,6 +189,7 @@ def compare(docs: DataFrame) -> DataFrame:
                 out, size = [], 0
         if out:
             yield _rows(out)
+        tidy()
 
     return in_order(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 

@@ -12,7 +12,7 @@ integers.
 Work on dense groups stays linear: the first round pairs each list's smallest node with the others and
 joins what is confirmed into components. The second round looks only at lists that still hold several
 components and pairs every two nodes of different ones that have not been compared yet, in blocks of
-`BLOCK` nodes; it leaves no candidate out. Sizes and signatures rule out pairs there. In lists of over `DENSE` nodes,
+`BLOCK` nodes, or less where sets are large; it leaves no candidate out. Sizes and signatures rule out pairs there. In lists of over `DENSE` nodes,
 where most candidates of a group of loose copies would just miss the threshold, nodes bring their sets along, as
 32-bit hashes, and a pair leaves the block only if these sets do not rule it out (two shingles with one hash can
 only make sets look more alike than they are, which is allowed for). So what is joined with texts and confirmed is
@@ -56,6 +56,8 @@ COUNTERS = 1 << 16
 BLOCK = 2000
 #: In longer lists, pairs are held against the nodes' sets before they are made.
 DENSE = 64
+#: Bytes of sets that such a block has on average at most, so that a task's memory does not follow the texts' lengths.
+BLOCK_BYTES = 32_000_000
 #: Pairs whose signatures are compared at once.
 COMPARED = 20_000
 
@@ -131,15 +133,16 @@ def _prefix(keys: np.ndarray, shared: np.ndarray, matches: int) -> np.ndarray:
 
 
 def postings(nodes: DataFrame, shared: np.ndarray, matches: int) -> DataFrame:
-    """key, node: every node under its rarest coordinate-value pairs."""
+    """key, node, shingles: every node under its rarest coordinate-value pairs, with the size of its set."""
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
         keys = _values(rows.column("sig").to_pylist())
         order = _prefix(keys, shared, matches)
         keys = np.take_along_axis(keys, order, axis=1)
-        return batch(key=keys.ravel().astype(np.int64), node=np.repeat(rows.column("node").to_numpy(), order.shape[1]))
+        node, size = (np.repeat(rows.column(x).to_numpy(), order.shape[1]) for x in ("node", "n"))
+        return batch(key=keys.ravel().astype(np.int64), node=node, shingles=size)
 
-    return map_batches(nodes.select("node", "sig"), run, "key long, node long", ALL_ROWS)
+    return map_batches(nodes.select("node", "sig", "n"), run, "key long, node long, shingles long", ALL_ROWS)
 
 
 def _weights(pairs: DataFrame) -> DataFrame:
@@ -223,22 +226,22 @@ def _may_link(one: tuple[np.ndarray, int], other: tuple[np.ndarray, int], percen
     return 100 * both >= percent * (n + m - both)
 
 
-def _compared(rows: pa.Table, shared: np.ndarray, percent: int) -> pa.RecordBatch | None:
+def _compared(rows: pa.Table, shared: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs of rows of one group (key, _one, _two) with different labels, enough matches and, if sets are there, these.
 
     Rows are sorted by group. All groups advance together: step d compares each row with the d-th after it.
-    A pair meets in every list that posts both; it is returned in that of the smallest coordinate alone.
+    A pair meets in every list that posts both; it is returned in that of the smallest coordinate alone. Sets stay
+    where the rows have them, and pairs are handed on as they are found.
     """
     key, one, two, own, node, label, size = (rows.column(x).to_numpy() for x in ("key", "_one", "_two", "_own", "node", "label", "n"))
     n = len(key)
     begins = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
     ends = np.repeat(np.append(begins[1:], n), np.diff(np.append(begins, n)))
     keys = _values(rows.column("sig").to_pylist())
-    sets = [None if x is None else (np.frombuffer(x, dtype=np.uint32), m) for x, m in zip(rows.column("set").to_pylist(), size.tolist(), strict=True)]
+    sets = [(np.frombuffer(x.as_buffer(), dtype=np.uint32), m) if x.is_valid else None for x, m in zip(rows.column("set"), size.tolist(), strict=True)]
     posted = np.zeros((n, COORDINATES), dtype=bool)
     np.put_along_axis(posted, _prefix(keys, shared, MATCHES[percent]), True, axis=1)
     values, coordinate = keys.astype(np.uint32), key.astype(np.uint64) >> np.uint64(32)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     active, d = np.arange(n), 1
     while len(active := active[active + d < ends[active]]):
         after = active + d
@@ -252,12 +255,10 @@ def _compared(rows: pa.Table, shared: np.ndarray, percent: int) -> pa.RecordBatc
             keep = (equal.sum(axis=1) >= MATCHES[percent]) & (first == coordinate[i])
             i, j = i[keep], j[keep]
             kept = np.fromiter((sets[x] is None or _may_link(sets[x], sets[y], percent) for x, y in zip(i.tolist(), j.tolist(), strict=True)), dtype=bool, count=len(i))
-            found.append((node[i[kept]], node[j[kept]]))
+            if kept.any():
+                a, b = node[i[kept]], node[j[kept]]
+                yield batch(a=np.minimum(a, b), b=np.maximum(a, b))
         d += 1
-    if not found:
-        return None
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    return batch(a=np.minimum(a, b), b=np.maximum(a, b))
 
 
 def _sets(dense: DataFrame, texts: DataFrame) -> DataFrame:
@@ -270,12 +271,13 @@ def _sets(dense: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _crossing(lists: DataFrame, nodes: DataFrame, texts: DataFrame, shared: np.ndarray, percent: int) -> DataFrame:
-    """Pairs a < b with enough matches of nodes that share a list of `lists` (key, node, label) under different labels."""
-    sized = lists.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("n"))
-    sized = cut(sized.filter("_low != _high").select("key", "n"))
-    mixed = cut(salted_join(lists, sized.withColumnRenamed("n", "_size"), "key", "node", weights=sized))
+    """Pairs a < b with enough matches of nodes that share a list of `lists` (key, node, shingles, label) under different labels."""
+    sized = lists.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("n"), F.sum("shingles").alias("_shingles"))
+    by_bytes = F.when(F.col("n") > DENSE, F.ceil(4 * F.col("_shingles") / BLOCK_BYTES))
+    sized = cut(sized.filter("_low != _high").select("key", "n", F.greatest(F.ceil(F.col("n") / BLOCK), by_bytes).cast("int").alias("_blocks")))
+    mixed = cut(salted_join(lists.drop("shingles"), sized.withColumnRenamed("n", "_size"), "key", "node", weights=sized))
     sets = cut(_sets(mixed.filter(F.col("_size") > DENSE).select("node").distinct(), texts))
-    blocks = mixed.withColumn("_blocks", F.ceil(F.col("_size") / BLOCK).cast("int")).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    blocks = mixed.withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     dealt = blocks.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("key", "node", "label", "_size", "_own", F.least("_own", "_other").alias("_one"), F.greatest("_own", "_other").alias("_two"))
     facts = nodes.select("node", "sig", "n").join(sets, "node", "left")
     brought = F.when(F.col("_size") > DENSE, F.col("set")).alias("set")
@@ -290,10 +292,10 @@ def _crossing(lists: DataFrame, nodes: DataFrame, texts: DataFrame, shared: np.n
             begins = np.flatnonzero(np.any([x[:-1] != x[1:] for x in keys], axis=0)) + 1
             whole = int(begins[-1]) if len(begins) else 0  # the last group may go on
             held = rows.slice(whole)
-            if whole and (out := _compared(rows.slice(0, whole), shared, percent)):
-                yield out
-        if held is not None and len(held) and (out := _compared(held, shared, percent)):
-            yield out
+            if whole:
+                yield from _compared(rows.slice(0, whole), shared, percent)
+        if held is not None and len(held):
+            yield from _compared(held, shared, percent)
         tidy()
 
     return with_sig.mapInArrow(run, "a long, b long")
@@ -321,7 +323,7 @@ def _assigned(docs: DataFrame, percent: int) -> DataFrame:
     texts = cut(whole.groupBy("doc_id", "text_key").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"))
     links = cut(confirm(cut(_matching(first, nodes, MATCHES[percent])), texts, percent))
     labels = components(links)
-    named = lists.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    named = lists.select("key", "node", "shingles").join(labels, "node", "left").select("key", "node", "shingles", F.coalesce("label", "node").alias("label"))
     second = cut(_crossing(named, nodes, texts, shared, percent).join(first, ["a", "b"], "left_anti"))
     more = cut(confirm(second, texts, percent))
     if not more.isEmpty():

@@ -550,9 +550,10 @@ def test_near_duplicates_of_odd_rows(spark, odd, odd_rows):
     assert sorted((r["component_id"], r["kept"]) for r in lone if r["doc_id"]) == [(1, True)] and len(lone) == 2
 
 
-@pytest.mark.parametrize(("block", "dense"), [(2000, 64), (2000, 3), (3, 5)])
-def test_near_duplicates_with_dense_groups_and_chains(spark, monkeypatch, block, dense):
+@pytest.mark.parametrize(("block", "dense", "size"), [(2000, 64, 32_000_000), (2000, 3, 32_000_000), (3, 5, 32_000_000), (2000, 3, 1500)])
+def test_near_duplicates_with_dense_groups_and_chains(spark, monkeypatch, block, dense, size):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", size)
     monkeypatch.setattr(neardup, "DENSE", dense)
     r = random.Random(9)
     rows = []

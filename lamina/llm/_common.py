@@ -21,6 +21,10 @@ from pyspark.sql.types import StructType
 CACHE_WORDS = 100_000
 #: Rows that are turned into Python objects together; texts may be long.
 ROWS = 1000
+#: Bytes of a batch that is sent to a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+#: Where a session says so.
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: As many rows as a batch has, for short rows.
 ALL_ROWS = 1 << 30
 
@@ -33,7 +37,13 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the package to the executors once per application, whatever their import path is."""
+    """Give the package to the executors once per application, whatever their import path is.
+
+    A session that does not say how many bytes a batch has gets `BATCH_BYTES`, since an executor holds a batch of
+    each task twice, in the JVM and in the worker.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

@@ -599,6 +599,20 @@ def test_hot_keys_are_dealt_over_tasks(spark, monkeypatch):
     assert common.salted_join(many, few, "k", "v", "left").filter("x IS NULL").count() == 2 and common.salted_join(many, few, ["k"], "v", "left_semi").columns == ["k", "v"]
 
 
+def test_batches_are_held_to_bytes(spark):
+    """Long rows come in small batches, a row above the bound comes alone, and a session's own setting stays."""
+    docs = spark.range(0, 40, 1, 1).select("id", F.repeat(F.lit("x"), F.when(F.col("id") == 20, 20_000_000).otherwise(1_000_000)).alias("text"))
+    sizes = lambda: [r["n"] for r in common.map_batches(docs, lambda rows: common.batch(n=[rows.num_rows]), "n long").collect()]
+    found = sizes()
+    assert sum(found) == 40 and max(found) <= common.BATCH_BYTES // 1_000_000 + 1
+    spark.conf.set(common.BATCH_SETTING, 2_000_000)
+    try:
+        found = sizes()
+        assert sum(found) == 40 and max(found) <= 3
+    finally:
+        spark.conf.unset(common.BATCH_SETTING)
+
+
 def test_short_sets_rule_out_no_link():
     r = np.random.default_rng(4)
     for percent in (80, 85):

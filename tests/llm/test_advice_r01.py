@@ -6,8 +6,8 @@ import re
 import pytest
 
 import corpus_pipeline
-from lamina.llm import licenses, neardup, quality, queries
-from tests.llm.test_llm import SMALL, WORD, by_id, frame, words
+from lamina.llm import licenses, neardup, quality, queries, secrets
+from tests.llm.test_llm import SMALL, WORD, by_id, check_packing, frame, spans, words
 
 
 def firsts_by_brute_force(rows, percent):
@@ -69,6 +69,20 @@ def test_pipeline_keeps_firsts_at_80_percent(spark):
     assert {x["doc_id"] for x in corpus_pipeline.run(spark, SMALL).collect()} == {d for d, x in label.items() if d == x}
 
 
+def test_pipeline_masks_and_packs_what_stays_at_80_percent(spark):
+    docs = {x["doc_id"]: x["text"] for x in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    kept = {x["doc_id"] for x in quality.assess(spark.read.parquet(f"{SMALL}/documents.parquet")).filter("kept").collect()}
+    label = firsts_by_brute_force([(d, docs[d]) for d in sorted(kept)], 80)
+    masked = []
+    for d in sorted(d for d, x in label.items() if d == x):
+        at, out = 0, ""
+        for _, start, end in (x.split(":") for x in spans(docs[d]).split(",") if x):
+            out += docs[d][at : int(start)] + secrets.MASK if int(start) >= at else ""
+            at = max(at, int(end))
+        masked.append((d, out + docs[d][at:]))
+    check_packing(masked, corpus_pipeline.run(spark, SMALL).collect())
+
+
 # short license notices
 
 
